@@ -1,0 +1,183 @@
+"""Reading, writing and exporting fact rows and results."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.comparing import DATA, assert_same, duck
+from tests.facts import LAST_WEEK, SPEC as EDGE_SPEC, TODAY, fact, row
+from tests.plans import planned, ran
+from weekpulse import Report
+from weekpulse.oracle import ORACLE
+from weekpulse.queries import EARLY, SPEC
+from weekpulse.sources.events import CUSTOMERS, EVENTS, event_feed, events_to_fact, read_customers
+from weekpulse.sources.export import export, export_path, read_export
+from weekpulse.sources.fact import FACT_COLUMNS, as_fact, read_fact, report_days, write_fact
+from weekpulse.sources.jdbc import (
+    connection_properties,
+    period_predicates,
+    split_predicates,
+    warehouse_url,
+)
+from weekpulse.sources.shared import new_folder, shared_folder
+
+FOLDER = f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def fact_path(spark):
+    path = new_folder(spark, "fact")
+    write_fact(event_feed(spark, FOLDER), path)
+    return path
+
+
+def test_written_fact_reads_two_days(spark, fact_path):
+    assert report_days(SPEC) == [date(2024, 1, 15), date(2024, 1, 8)]
+    assert report_days(EARLY) == [date(2024, 1, 15)]
+    fact_rows = read_fact(spark, path=fact_path, spec=SPEC)
+    assert {p.split("event_date=")[1][:10] for p in fact_rows.inputFiles()} >= {"2024-01-15"}
+    plan = ran(Report(fact_rows, SPEC).summary())
+    assert "PartitionFilters: [event_date#" in plan
+    assert "PushedFilters: [In(brand" in plan or "In(brand" in plan
+    assert_same(Report(fact_rows, SPEC).summary().toPandas(), duck(FOLDER).execute(ORACLE["wow_summary"]).df())
+
+
+def test_fact_table_by_name(spark, fact_path):
+    spark.read.parquet(fact_path).createOrReplaceTempView("fact_rows")
+    fact_rows = read_fact(spark, table="fact_rows", spec=SPEC)
+    assert fact_rows.columns == FACT_COLUMNS
+    assert_same(
+        Report(fact_rows, SPEC).hourly().toPandas(), duck(FOLDER).execute(ORACLE["hourly_cube"]).df()
+    )
+
+
+def test_fact_needs_its_columns(spark):
+    with pytest.raises(ValueError, match="revenue"):
+        as_fact(fact(spark).drop("revenue"))
+    with pytest.raises(ValueError):
+        read_fact(spark)
+
+
+def test_revenue_of_other_types(spark):
+    rows = fact(spark, row(TODAY, revenue="1.25"), row(LAST_WEEK, revenue="1.00"))
+    for kind in ("double", "decimal(10,4)", "bigint"):
+        found = Report(rows.withColumn("revenue", F.col("revenue").cast(kind)), EDGE_SPEC).summary().first()
+        assert found.revenue_pct_diff == (0.0 if kind == "bigint" else 25.0)
+
+
+def test_zoned_date_hour(spark):
+    rows = fact(spark, row(TODAY, notif=1), row(LAST_WEEK, notif=1))
+    zoned = rows.withColumn("date_hour", F.col("date_hour").cast("timestamp"))
+    assert Report(zoned, EDGE_SPEC).hourly().collect() == Report(rows, EDGE_SPEC).hourly().collect()
+
+
+def test_small_customer_table_is_broadcast_and_a_large_one_is_not(spark):
+    events = spark.read.schema(EVENTS).parquet(f"{FOLDER}/events.parquet")
+    customers = read_customers(spark, FOLDER)
+    small = events_to_fact(events, customers, SPEC)
+    large = events_to_fact(events, customers, SPEC, broadcast_limit=0)
+    assert "BroadcastHashJoin" in planned(small)
+    assert_same(Report(small, SPEC).hourly().toPandas(), Report(large, SPEC).hourly().toPandas())
+    # The selection still reaches the scans below the aggregation.
+    plan = planned(Report(large, SPEC).summary())
+    assert plan.count("PushedFilters: [Or(And(GreaterThanOrEqual(ts,") == 1
+    assert "PushedFilters: [In(c_mktsegment" in plan
+
+
+def test_user_with_a_third_of_all_events(spark):
+    """Past the broadcast limit the hot user reaches the join as one row per hour and feature."""
+    hours = [datetime(2024, 1, 15, h) for h in range(3)]
+    spread = spark.range(60_000).select(
+        F.col("id").alias("event_id"),
+        F.element_at(F.lit(hours), (F.col("id") % 3 + 1).cast("int")).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("user_id"),
+        F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"),
+        F.lit('{"k": 1}').alias("props"),
+    )
+    customers = spark.range(60_200).select(
+        F.col("id").alias("c_custkey"), F.when(F.col("id") == 7, "hot").otherwise("rest").alias("c_mktsegment")
+    )
+    spec = replace(EDGE_SPEC, known_brands=("hot", "rest"))
+    large = events_to_fact(spread, customers, spec, broadcast_limit=0)
+    assert large.filter(F.col("brand") == "hot").count() == 1
+    found = {r.brand: r.notif_today for r in Report(large, spec).summary().collect()}
+    assert found == {"hot": 20_000, "rest": 40_000}
+
+
+def test_user_listed_twice_counts_twice_either_way(spark):
+    events = spark.createDataFrame(
+        [(1, TODAY, 5, "purchase", 2.5, '{"k": 3}'), (2, TODAY, 5, "purchase", 1.5, '{"k": 3}')], EVENTS
+    )
+    customers = spark.createDataFrame([(5, "a"), (5, "b"), (6, "c")], CUSTOMERS)
+    for limit in (0, 10**9):
+        found = Report(events_to_fact(events, customers, EDGE_SPEC, limit), EDGE_SPEC).summary().collect()
+        assert [(r.brand, r.feature, r.revenue_today, r.install_today) for r in found] == [
+            ("a", "feature_3", 4.0, 2), ("b", "feature_3", 4.0, 2)
+        ]
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_export(spark, tmp_path, format):
+    rows = [row(TODAY, brand="x, \"y\"", revenue="0.10"), row(LAST_WEEK, brand="", revenue="3")]
+    summary = Report(fact(spark, *rows), EDGE_SPEC).summary()
+    path = export(summary, str(tmp_path), EDGE_SPEC.as_of, format)
+    assert path.endswith("/metrics_20240115_1430")
+    assert_same(read_export(spark, path, summary.schema, format).toPandas(), summary.toPandas())
+    if format == "csv":
+        header = spark.read.text(path).filter(F.col("value").startswith("brand,feature,")).count()
+        assert header >= 1
+    with pytest.raises(ValueError):
+        export(summary, str(tmp_path), EDGE_SPEC.as_of, "xml")
+    assert export_path("a/", datetime(2024, 2, 3, 4, 5), "n") == "a/n_20240203_0405"
+
+
+def test_shared_folder_is_the_clusters(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+# The JDBC read itself is not run: it needs a database. What it asks for is checked here.
+
+
+def counted(spark, predicates, rows):
+    hits = sum((F.when(F.expr(p), 1).otherwise(0) for p in predicates), F.lit(0))
+    return [r.hits for r in rows.withColumn("hits", hits).collect()]
+
+
+@pytest.mark.parametrize("hours", [1, 5, 48])
+@pytest.mark.parametrize("as_of", [SPEC.as_of, EARLY.as_of, datetime(2024, 1, 15, 2), datetime(2024, 1, 15, 23, 59, 59)])
+def test_slices_hold_each_row_of_the_periods_once(spark, as_of, hours):
+    spec = replace(SPEC, as_of=as_of)
+    times = spark.sql(
+        "SELECT explode(sequence(TIMESTAMP_NTZ'2024-01-07 22:00:00', TIMESTAMP_NTZ'2024-01-16 02:00:00',"
+        " INTERVAL 15 MINUTES)) AS date_hour"
+    )
+    edges = [t for period in spec.periods for t in period]
+    times = times.union(times.sparkSession.createDataFrame([(t,) for t in edges], "date_hour timestamp_ntz")).distinct()
+    times = times.coalesce(1).sort("date_hour")
+    found = counted(spark, period_predicates(spec, slice_hours=hours), times)
+    wanted = [
+        int(any(p.start <= r.date_hour <= p.end for p in spec.periods)) for r in times.collect()
+    ]
+    assert found == wanted
+
+
+def test_splits_hold_each_row_once(spark):
+    rows = spark.createDataFrame([(n,) for n in (None, -3, -1, 0, 1, 2, 5)], "n bigint")
+    predicates = split_predicates(["TRUE"], "n", 4)
+    assert len(predicates) == 4
+    assert counted(spark, predicates, rows) == [1] * 7
+    assert split_predicates(["TRUE"], None, 4) == ["TRUE"]
+
+
+def test_connection_settings():
+    assert warehouse_url("h", "db") == "jdbc:redshift://h:5439/db"
+    assert warehouse_url("h", "db", 5432, "postgresql") == "jdbc:postgresql://h:5432/db"
+    given = connection_properties({"user": "u", "queryTimeout": "10"})
+    assert given["user"] == "u" and given["queryTimeout"] == "10"
+    assert connection_properties()["queryTimeout"] == "120"

@@ -13,6 +13,12 @@ def moment(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def start_of_hour(time: Column) -> Column:
+    """Stays without a zone, unlike `date_trunc`, so the session's zone plays no part."""
+    midnight = F.to_date(time).cast("timestamp_ntz")
+    return midnight + F.make_dt_interval(hours=F.hour(time))
+
+
 def hour_of_day(time: Column) -> Column:
     return F.hour(time)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weekpulse.operators.measures import FACT_COLUMN
 from weekpulse.plans.report import Report
-from weekpulse.sources.events import event_feed, events_to_fact
+from weekpulse.sources.events import EVENTS, event_feed, events_to_fact, read_customers
 from weekpulse.sources.export import export, read_export
 from weekpulse.sources.shared import new_folder
 from weekpulse.spec import ReportSpec
@@ -43,9 +43,9 @@ def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def hourly_rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
     """All events streamed into a rollup table, and the table's hourly sums."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet")
-    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    # A glob, since the stream source takes a plain path to be a folder.
+    events = spark.readStream.schema(EVENTS).parquet(f"{folder}/{{events}}.parquet")
+    customers = read_customers(spark, folder)
     place = new_folder(spark, "rollup")
     start_rollup(
         events,
@@ -88,7 +88,8 @@ QUERIES: dict[str, Query] = {
     "dimension_values": on_report(Report.dimension_values),
     "multi_grain": on_report(Report.multi_grain),
     "grid_wow": on_report(Report.grid),
-    "wow_with_totals": on_report(Report.summary_with_totals),
+    # Rows and scalars need different sums; from the cached cube both come out of one scan.
+    "wow_with_totals": on_report(lambda report: report.cache().summary_with_totals()),
     "pct_rules": on_report(Report.percent_rules),
     "display_table": on_report(Report.display),
     "export_roundtrip": export_roundtrip,

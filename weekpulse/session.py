@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Otherwise every Column built in Python records its call site, at a millisecond or more each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -10,12 +10,30 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weekpulse.functions.clock import moment
+from weekpulse.functions.clock import moment, start_of_hour
 from weekpulse.operators.measures import FACT_COLUMN
 from weekpulse.sources.fact import FACT_COLUMNS
 from weekpulse.spec import Period, ReportSpec
 
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+CUSTOMERS = T.StructType(
+    [
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]
+)
+
 N_FEATURES = 7
 # Bytes on disk; a hash table of this many stays small next to an executor's memory.
 BROADCAST_LIMIT = 10 * 1024 * 1024
@@ -23,9 +41,12 @@ GRAIN = ("user_id", "feature", "source", "date_hour")
 
 
 def event_feed(spark: SparkSession, folder: str, spec: ReportSpec | None = None) -> DataFrame:
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    customers = spark.read.parquet(f"{folder}/customer.parquet")
-    return events_to_fact(events, customers, spec)
+    events = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
+    return events_to_fact(events, read_customers(spark, folder), spec)
+
+
+def read_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CUSTOMERS).parquet(f"{folder}/customer.parquet")
 
 
 def events_to_fact(
@@ -76,7 +97,7 @@ def _hourly_events(events: DataFrame) -> DataFrame:
         .when(F.col("code") % 3 == 1, "FOTA")
         .otherwise("other")
         .alias("source"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("date_hour"),
+        start_of_hour(F.col("ts")).alias("date_hour"),
         F.when(kind == "purchase", F.col("value")).otherwise(0).cast("decimal(18,2)").alias("revenue"),
         _one_if(kind == "view").alias("notification_shown"),
         _one_if(kind == "click").alias("experience_shown"),
