@@ -23,8 +23,8 @@ def export(
     path = export_path(folder, as_of)
     writer = df.write.mode(mode)
     if format == "csv":
-        # Spark writes both NULL and '' as nothing by default; quotes keep the empty text apart.
-        writer = writer.option("header", True).option("nullValue", "").option("emptyValue", '""')
+        # NULL is written as nothing, an empty text in quotes.
+        writer = writer.option("header", True)
     writer.format(format).save(path)
     return path
 
@@ -34,5 +34,6 @@ def read_export(
 ) -> DataFrame:
     reader = spark.read.schema(schema)
     if format == "csv":
-        reader = reader.option("header", True).option("nullValue", "").option("emptyValue", "")
+        # Stands for nothing between two commas; were it '', empty texts would turn NULL too.
+        reader = reader.option("header", True).option("nullValue", "\u0000")
     return reader.format(format).load(path)
