@@ -14,7 +14,14 @@ from tests.plans import planned, ran
 from weekpulse import Report
 from weekpulse.oracle import ORACLE
 from weekpulse.queries import EARLY, SPEC
-from weekpulse.sources.events import CUSTOMERS, EVENTS, event_feed, events_to_fact, read_customers
+from weekpulse.sources.events import (
+    CUSTOMERS,
+    EVENTS,
+    _number_in,
+    event_feed,
+    events_to_fact,
+    read_customers,
+)
 from weekpulse.sources.export import export, export_path, read_export
 from weekpulse.sources.fact import FACT_COLUMNS, as_fact, read_fact, report_days, write_fact
 from weekpulse.sources.jdbc import (
@@ -181,3 +188,14 @@ def test_connection_settings():
     given = connection_properties({"user": "u", "queryTimeout": "10"})
     assert given["user"] == "u" and given["queryTimeout"] == "10"
     assert connection_properties()["queryTimeout"] == "120"
+
+
+def test_number_in_any_json_object(spark):
+    texts = {
+        '{"k": 42}': 42, '{"k": 0}': 0, '{"k": -8}': -8, '{"k":5}': 5, '{ "k" : 6 }': 6, '{"k":  7}': 7,
+        '{"k": "9"}': 9, '{"k": 12, "x": 3}': 12, '{"x": 1, "k": 4}': 4, '{"k": null}': None,
+        '{"x": 1}': None, "": None, "{}": None, '{"k": 3, "k2": {"k": 1}}': 3,
+    }
+    rows = spark.createDataFrame([(t, v) for t, v in texts.items()] + [(None, None)], "props string, wanted int")
+    found = rows.select("wanted", _number_in("props", "k").alias("found")).collect()
+    assert [r.found for r in found] == [r.wanted for r in found]

@@ -35,9 +35,10 @@ CUSTOMERS = T.StructType(
 )
 
 N_FEATURES = 7
+N_SOURCES = 3
 # Bytes on disk; a hash table of this many stays small next to an executor's memory.
 BROADCAST_LIMIT = 10 * 1024 * 1024
-GRAIN = ("user_id", "feature", "source", "date_hour")
+GRAIN = ("user_id", "lane", "date_hour")
 
 
 def event_feed(spark: SparkSession, folder: str, spec: ReportSpec | None = None) -> DataFrame:
@@ -73,7 +74,15 @@ def events_to_fact(
     else:
         measures = [F.sum(c).alias(c) for c in FACT_COLUMN.values()]
         joined = hours.groupBy(*GRAIN).agg(*measures).join(brands, "user_id")
-    return joined.select(*FACT_COLUMNS)
+    lane = F.col("lane")
+    feature = F.concat(F.lit("feature_"), (lane % N_FEATURES).cast("string"))
+    source = (
+        F.when(lane % N_SOURCES == 0, "pre-install")
+        .when(lane % N_SOURCES == 1, "FOTA")
+        .otherwise("other")
+    )
+    named = joined.withColumns({"feature": feature, "source": source})
+    return named.select(*FACT_COLUMNS)
 
 
 def _readable(period: Period) -> Column:
@@ -89,14 +98,11 @@ def _readable(period: Period) -> Column:
 
 def _hourly_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    code = F.get_json_object("props", "$.k").cast("int")
-    return events.withColumn("code", code).select(
+    # Feature and source both follow from this remainder; one small number to group and shuffle by.
+    lane = _number_in("props", "k") % (N_FEATURES * N_SOURCES)
+    return events.select(
         "user_id",
-        F.concat(F.lit("feature_"), (F.col("code") % N_FEATURES).cast("string")).alias("feature"),
-        F.when(F.col("code") % 3 == 0, "pre-install")
-        .when(F.col("code") % 3 == 1, "FOTA")
-        .otherwise("other")
-        .alias("source"),
+        lane.alias("lane"),
         start_of_hour(F.col("ts")).alias("date_hour"),
         F.when(kind == "purchase", F.col("value")).otherwise(0).cast("decimal(18,2)").alias("revenue"),
         _one_if(kind == "view").alias("notification_shown"),
@@ -106,6 +112,18 @@ def _hourly_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _number_in(column: str, key: str) -> Column:
+    """A whole number in a JSON object.
+
+    Parsing JSON is most of the work per event. An object with just this number needs none; what is
+    between its key and its end is no number for any other object, which is then parsed.
+    """
+    text, start = F.col(column), f'{{"{key}": '
+    alone = F.substring(text, F.lit(len(start) + 1), F.length(text) - (len(start) + 1))
+    number = F.when(text.startswith(start) & text.endswith("}"), alone.try_cast("int"))
+    return F.coalesce(number, F.get_json_object(text, f"$.{key}").cast("int"))
+
+
 def _one_if(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0).cast("bigint")
 
