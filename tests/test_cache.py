@@ -23,11 +23,11 @@ def test_cached_cube_is_read_and_dropped(spark):
 def test_refresh_moves_on(spark):
     rows = fact(spark, row(TODAY, notif=2), row(TODAY.replace(hour=15), notif=3))
     report = Report(rows, SPEC).cache()
-    later = report.refresh(SPEC.as_of + timedelta(hours=1))
+    later = report.refresh(rows, SPEC.as_of + timedelta(hours=1))
     assert report.kpi_totals().first().notif_today == 2
     assert later.kpi_totals().first().notif_today == 5
     assert "InMemoryTableScan" in planned(later.by_brand())
-    assert later.refresh(SPEC.as_of, fact(spark)).kpi_totals().first().notif_today == 0
+    assert later.refresh(fact(spark), SPEC.as_of).kpi_totals().first().notif_today == 0
     spark.catalog.clearCache()
 
 

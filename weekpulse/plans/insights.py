@@ -10,16 +10,17 @@ from weekpulse.functions.display import COUNT, MONEY, formatted
 from weekpulse.operators.measures import filled
 from weekpulse.operators.period_sums import add_up_sets
 
-# Fixed thresholds, in percent, and the wording of the messages.
+# The thresholds in percent and the wording of the messages.
 REVENUE_SWING = 20
 NEW_DEVICES_SWING = 10
+REVENUE_MESSAGE = "%s Revenue %s vs last week - %s"
 REVENUE_UP = ("🔥", "Great performance!")
 REVENUE_DOWN = ("⚠️", "Needs attention")
+PEAK_MESSAGE = "📊 Peak hour today: %s:00 (%s notifications)"
+NEW_DEVICES_MESSAGE = "%s New Devices %s - %s today"
 NEW_DEVICES_UP = "📈"
 NEW_DEVICES_DOWN = "📉"
-PEAK = "📊"
-TOP = "⭐"
-
+TOP_MESSAGE = "⭐ Top feature: %s ($%s)"
 TENTH = "0.0"
 
 
@@ -86,14 +87,13 @@ def _changes() -> list[Column]:
     ]
 
 
-def _line(rank: int, kind: str, value: Column, change: Column, *message: Column | str) -> Column:
-    words = [F.lit(part) if isinstance(part, str) else part for part in message]
+def _line(rank: int, kind: str, value: Column, change: Column, message: Column) -> Column:
     return F.struct(
         F.lit(rank).alias("rank"),
         F.lit(kind).alias("kind"),
         value.cast("double").alias("value"),
         change.cast("double").alias("change_pct"),
-        F.concat(*words).alias("message"),
+        message.alias("message"),
     )
 
 
@@ -108,64 +108,29 @@ def _up_down(change: Column, up: str, down: str) -> Column:
 
 def _revenue_line() -> Column:
     change = F.col("revenue_change")
-    line = _line(
-        1,
-        "revenue_swing",
-        F.col("total.revenue_today"),
-        change,
-        _up_down(change, REVENUE_UP[0], REVENUE_DOWN[0]),
-        " Revenue ",
-        _signed(change),
-        " vs last week - ",
-        _up_down(change, REVENUE_UP[1], REVENUE_DOWN[1]),
-    )
+    mark, verdict = (_up_down(change, *pair) for pair in zip(REVENUE_UP, REVENUE_DOWN))
+    message = F.format_string(REVENUE_MESSAGE, mark, _signed(change), verdict)
+    line = _line(1, "revenue_swing", F.col("total.revenue_today"), change, message)
     return F.when(F.abs(change) > REVENUE_SWING, line)
 
 
 def _peak_line() -> Column:
     value = F.col("peak.notif")
-    line = _line(
-        2,
-        "peak_hour",
-        value,
-        F.lit(None),
-        f"{PEAK} Peak hour today: ",
-        _peak_hour("peak").cast("string"),
-        ":00 (",
-        formatted(value, COUNT),
-        " notifications)",
-    )
+    message = F.format_string(PEAK_MESSAGE, _peak_hour("peak"), formatted(value, COUNT))
+    line = _line(2, "peak_hour", value, F.lit(None), message)
     return F.when(F.col("peak").isNotNull(), line)
 
 
 def _new_devices_line() -> Column:
     value, change = F.col("total.new_devices_today"), F.col("new_devices_change")
-    line = _line(
-        3,
-        "new_devices_swing",
-        value,
-        change,
-        _up_down(change, NEW_DEVICES_UP, NEW_DEVICES_DOWN),
-        " New Devices ",
-        _signed(change),
-        " - ",
-        formatted(value, COUNT),
-        " today",
-    )
+    mark = _up_down(change, NEW_DEVICES_UP, NEW_DEVICES_DOWN)
+    message = F.format_string(NEW_DEVICES_MESSAGE, mark, _signed(change), formatted(value, COUNT))
+    line = _line(3, "new_devices_swing", value, change, message)
     return F.when((value > 0) & (F.abs(change) > NEW_DEVICES_SWING), line)
 
 
 def _top_line() -> Column:
     value = -F.col("top.minus_revenue")
-    line = _line(
-        4,
-        "top_feature",
-        value,
-        F.lit(None),
-        f"{TOP} Top feature: ",
-        F.col("top.feature"),
-        " ($",
-        formatted(value, MONEY),
-        ")",
-    )
+    message = F.format_string(TOP_MESSAGE, F.col("top.feature"), formatted(value, MONEY))
+    line = _line(4, "top_feature", value, F.lit(None), message)
     return F.when(F.col("top").isNotNull(), line)

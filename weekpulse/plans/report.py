@@ -45,11 +45,14 @@ class Report:
             self._cube.unpersist()
             self._cube = None
 
-    def refresh(self, as_of: datetime, fact: DataFrame | None = None) -> Report:
-        """The same report at a new time, dropping what was kept for the old one."""
+    def refresh(self, fact: DataFrame, as_of: datetime) -> Report:
+        """The same report at a new time, dropping what was kept for the old one.
+
+        The fact rows are given anew: the old ones may have been read for the old periods only.
+        """
         cached = self._cube is not None
         self.close()
-        fresh = Report(self.fact if fact is None else fact, self.spec.at(as_of))
+        fresh = Report(fact, self.spec.at(as_of))
         return fresh.cache() if cached else fresh
 
     def sums(self, *keys: str) -> DataFrame:

@@ -45,13 +45,13 @@ def hourly_rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
     """All events streamed into a rollup table, and the table's hourly sums."""
     # A glob, since the stream source takes a plain path to be a folder.
     events = spark.readStream.schema(EVENTS).parquet(f"{folder}/{{events}}.parquet")
-    customers = read_customers(spark, folder)
     place = new_folder(spark, "rollup")
     start_rollup(
         events,
         table=f"{place}/table",
         checkpoint=f"{place}/checkpoint",
-        to_fact=lambda batch: events_to_fact(batch, customers),
+        # The customers as they are when the batch runs.
+        to_fact=lambda batch: events_to_fact(batch, read_customers(spark, folder)),
         once=True,
     ).awaitTermination()
     totals = hour_totals(read_rollup(spark, f"{place}/table"), ("brand", "feature", "date_hour"))
