@@ -102,3 +102,12 @@ def test_windowed_totals_equal_the_batch_answer(spark, mode):
         wanted = wanted.filter(F.col("date_hour") <= F.lit(str(last)).cast("timestamp_ntz"))
     assert found.count() > 0
     assert_same(found.toPandas(), wanted.toPandas())
+
+
+def test_windows_need_a_utc_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kathmandu")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            windowed_totals(event_feed(spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

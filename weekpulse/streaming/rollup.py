@@ -21,6 +21,7 @@ BATCH = "batch_id"
 REFRESH_INTERVAL = "5 minutes"
 # Last week's period must stay readable: the lookback and a day.
 HORIZON = "8 days"
+UTC = ("UTC", "Etc/UTC")
 HOUR_KEYS = ("brand", "feature", "source", "date_hour")
 
 
@@ -68,8 +69,10 @@ def windowed_totals(stream: DataFrame, horizon: str = HORIZON) -> DataFrame:
     """Hourly sums of a stream of fact rows as a stateful window aggregation.
 
     State is bounded by `horizon`; rows later than that are dropped, which is why the rollup above
-    does not use it.
+    does not use it. Windows are cut on the session's clock, which therefore has to be UTC.
     """
+    if stream.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC:
+        raise ValueError("set spark.sql.session.timeZone to UTC")
     timed = stream.withColumn("event_time", F.col("date_hour").cast("timestamp"))
     hour = F.window("event_time", "1 hour")
     sums = [F.sum(c).alias(c) for c in FACT_COLUMN.values()]
