@@ -116,6 +116,29 @@ def test_user_with_a_third_of_all_events(spark):
     assert found == {"hot": 20_000, "rest": 40_000}
 
 
+def test_large_customer_table_meets_sums_and_not_events(spark):
+    events = spark.read.schema(EVENTS).parquet(f"{FOLDER}/events.parquet")
+    large = events_to_fact(events, read_customers(spark, FOLDER), SPEC, broadcast_limit=0)
+    plan = planned(Report(large, SPEC).summary())
+    below = plan[plan.index("partial_sum", plan.index("Join")) :]
+    assert "FileScan" in below and "lane" in below
+
+
+def test_event_log_by_day_reads_two_days(spark):
+    path = new_folder(spark, "events-by-day")
+    events = spark.read.schema(EVENTS).parquet(f"{FOLDER}/events.parquet")
+    events.withColumn("event_date", F.to_date("ts")).repartition("event_date").write.partitionBy(
+        "event_date"
+    ).parquet(path)
+    by_day = events_to_fact(
+        spark.read.schema(EVENTS).parquet(path), read_customers(spark, FOLDER), SPEC
+    )
+    plan = ran(Report(by_day, SPEC).summary())
+    assert "PartitionFilters: [event_date#" in plan
+    found = Report(by_day, SPEC).summary().toPandas()
+    assert_same(found, duck(FOLDER).execute(ORACLE["wow_summary"]).df())
+
+
 def test_user_listed_twice_counts_twice_either_way(spark):
     events = spark.createDataFrame(
         [(1, TODAY, 5, "purchase", 2.5, '{"k": 3}'), (2, TODAY, 5, "purchase", 1.5, '{"k": 3}')], EVENTS

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from weekpulse.functions.clock import moment, start_of_hour
 from weekpulse.operators.measures import FACT_COLUMN
-from weekpulse.sources.fact import FACT_COLUMNS
+from weekpulse.sources.fact import DAY, FACT_COLUMNS, report_days
 from weekpulse.spec import Period, ReportSpec
 
 EVENTS = T.StructType(
@@ -56,13 +56,15 @@ def events_to_fact(
     spec: ReportSpec | None = None,
     broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """With a spec, only events that its two periods can read.
+    """With a spec, only events that its two periods can read; of a log by day, only those days.
 
     A customer table known to be at most `broadcast_limit` bytes is sent to the events, which are
     then not shuffled at all. A larger or unknown one is met in a shuffle, before which each user's
     events are summed by hour: however many events one user has, they arrive as a few hundred rows.
     """
     if spec is not None:
+        if DAY in events.columns:
+            events = events.filter(F.col(DAY).isin(report_days(spec)))
         events = events.filter(_readable(spec.today) | _readable(spec.last_week))
     hours = _hourly_events(events)
     brands = customers.select(

@@ -9,15 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from weekpulse.operators.measures import FACT_COLUMN
-from weekpulse.sources.fact import DAY, as_fact
+from weekpulse.sources.fact import DAY, FACT_SCHEMA, as_fact, report_days
 from weekpulse.spec import ReportSpec
 
 BATCH = "batch_id"
+ROLLUP = T.StructType(
+    [
+        *[f for f in FACT_SCHEMA if f.name != "revenue"],
+        T.StructField("revenue", T.DecimalType(28, 2)),
+        T.StructField(DAY, T.DateType()),
+        T.StructField(BATCH, T.LongType()),
+    ]
+)
 REFRESH_INTERVAL = "5 minutes"
 # Last week's period must stay readable: the lookback and a day.
 HORIZON = "8 days"
@@ -57,12 +67,34 @@ def start_rollup(
 
 
 def read_rollup(spark: SparkSession, table: str, spec: ReportSpec | None = None) -> DataFrame:
-    """The rolled-up fact rows; with a spec, from the folders of its two days only."""
-    return as_fact(spark.read.parquet(table), spec)
+    """The rolled-up fact rows.
+
+    With a spec only the folders of its two days are even listed; the table gains one folder per
+    day and batch, so that listing it all takes longer and longer.
+    """
+    reader = spark.read.schema(ROLLUP).option("basePath", table)
+    if spec is None:
+        return as_fact(reader.parquet(table))
+    folders = [f"{table}/{DAY}={day}" for day in report_days(spec)]
+    present = [folder for folder in folders if _is_there(reader, folder)]
+    # With no such day the whole table is asked, which fails if there is none.
+    return as_fact(reader.parquet(*(present or [table])), spec)
 
 
 def hour_totals(fact: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return fact.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in FACT_COLUMN.values()])
+    """Sums in the rollup's types, whatever the input's decimals were."""
+    sums = [F.sum(c).cast(ROLLUP[c].dataType).alias(c) for c in FACT_COLUMN.values()]
+    return fact.groupBy(*keys).agg(*sums)
+
+
+def _is_there(reader: DataFrameReader, folder: str) -> bool:
+    try:
+        reader.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def windowed_totals(stream: DataFrame, horizon: str = HORIZON) -> DataFrame:
