@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, datetime
+from unittest.mock import Mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from weekpulse.sources.fact import FACT_COLUMNS, as_fact, read_fact, report_days
 from weekpulse.sources.jdbc import (
     connection_properties,
     period_predicates,
+    read_jdbc,
     split_predicates,
     warehouse_url,
 )
@@ -222,3 +224,17 @@ def test_number_in_any_json_object(spark):
     rows = spark.createDataFrame([(t, v) for t, v in texts.items()] + [(None, None)], "props string, wanted int")
     found = rows.select("wanted", _number_in("props", "k").alias("found")).collect()
     assert [r.found for r in found] == [r.wanted for r in found]
+
+
+def test_jdbc_read_asks_for_the_slices(spark):
+    """With a stand-in for the connection."""
+    session = Mock()
+    session.read.jdbc.return_value = fact(spark, row(TODAY, notif=4)).withColumn("extra", F.lit(1))
+    rows = read_jdbc(session, "jdbc:x", "facts", EDGE_SPEC, {"user": "u"}, 2, "n", 3)
+    (url, table), options = session.read.jdbc.call_args
+    assert (url, table) == ("jdbc:x", "facts")
+    assert options["predicates"] == split_predicates(period_predicates(EDGE_SPEC, slice_hours=2), "n", 3)
+    assert len(options["predicates"]) == (8 + 7) * 3
+    assert options["properties"] == connection_properties({"user": "u"})
+    assert rows.columns == FACT_COLUMNS
+    assert Report(rows, EDGE_SPEC).kpi_totals().first().notif_today == 4

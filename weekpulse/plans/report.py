@@ -90,7 +90,10 @@ class Report:
         return totals.revenue_bars(self.by_feature(), "feature")
 
     def multi_grain(self) -> DataFrame:
-        """The same sums by brand and feature, by brand, by feature and in total."""
+        """The same sums by brand and feature, by brand, by feature and in total.
+
+        One aggregation over the finest sums; no rows at all give no total either.
+        """
         keys = ("brand", "feature")
         sums = add_up_sets(self.sums(*keys), [keys, ("brand",), ("feature",), ()], keys)
         names = F.create_map(*[F.lit(x) for grain in GRAINS.items() for x in grain])
