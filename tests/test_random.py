@@ -98,3 +98,13 @@ def test_random_rows(both, name):
     assert oracle.FACT in oracle.ORACLE[name]
     sql = oracle.ORACLE[name].replace(oracle.FACT, "fact AS (SELECT * FROM given)")
     assert_same(result(Report(fact, spec)).toPandas(), connection.execute(sql).df())
+
+
+def test_random_rows_from_the_cached_cube(both):
+    fact, connection = both
+    report = Report(fact, SPEC).cache()
+    for name, (result, spec) in RESULTS.items():
+        if spec is SPEC:
+            sql = oracle.ORACLE[name].replace(oracle.FACT, "fact AS (SELECT * FROM given)")
+            assert_same(result(report).toPandas(), connection.execute(sql).df())
+    report.close()

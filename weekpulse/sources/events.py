@@ -131,6 +131,10 @@ def _one_if(condition: Column) -> Column:
 
 
 def _known_size(df: DataFrame) -> int | None:
-    """Catalyst's size of the columns read, from the file sizes; None where it cannot be asked."""
+    """Catalyst's size of the columns read; None where it cannot be asked.
+
+    For columns read from files it follows from the files' sizes. Anything that makes rows (a join,
+    `explode`) is only estimated, so customers put together that way belong in a table first.
+    """
     plan = getattr(df, "_jdf", None)
     return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
