@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.comparing import DATA, assert_same, duck
+from weekpulse.oracle import ORACLE
+from weekpulse.queries import QUERIES
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_has_rows(spark):
@@ -17,11 +19,11 @@ def test_entry_has_rows(spark):
 
 
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_duckdb(spark, name, scale):
     folder = f"{DATA}/{scale}"
-    found = queries()[name](spark, folder)
-    wanted = duck(folder).execute(oracle_sql()[name])
+    found = QUERIES[name](spark, folder)
+    wanted = duck(folder).execute(ORACLE[name])
     kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
     assert {c: t for c, t in found.dtypes} == {d[0]: kinds[str(d[1])] for d in wanted.description}
     assert_same(found.toPandas(), wanted.df())
