@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpulse.llm import bpe_codec, language_id, token_counts
+from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, pii, quality, token_counts
 from weekpulse.llm.tables import crc_of_id, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,14 +16,49 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+# A deployment keeps a key of its own; with another one all pseudonyms differ.
+PSEUDONYM_KEY = b"registered query"
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.line_dedup(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.bpe_codec(read_table(spark, folder, "documents"), VOCABULARY, digests=True)
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    hits = decontamination.benchmark_hits(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    )
+    length = lambda span: span["last"] - span["first"] + 1
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + length(span))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"), VOCABULARY)
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pii_pseudonyms(docs, PSEUDONYM_KEY)
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    ruled = quality.quality_rules(read_table(spark, folder, "documents"))
+    return ruled.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = crc_of_id("doc_id") % 3 == 1
@@ -34,8 +69,12 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_pii": op8_pii,
+    "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
