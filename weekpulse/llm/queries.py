@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, pii, quality, token_counts
+from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup, pii, quality, token_counts
 from weekpulse.llm.tables import crc_of_id, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.bpe_codec(read_table(spark, folder, "documents"), VOCABULARY, digests=True)
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     hits = decontamination.benchmark_hits(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
@@ -71,6 +75,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
