@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality, token_counts
+from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality, suffix_dedup, token_counts
 from weekpulse.llm.tables import crc_of_id, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.suffix_dedup(read_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.lm_scores(read_table(spark, folder, "documents"))
 
@@ -77,6 +82,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_scores": op2_lm_scores,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
