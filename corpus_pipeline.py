@@ -35,9 +35,8 @@ def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines that other documents have, too, stay in the first one only; documents left empty go."""
-    kept = with_length(line_dedup.line_dedup(docs)).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    return kept.drop("n_lines", "n_dropped")
+    """Lines that other documents have, too, stay in the first one only; every document stays."""
+    return with_length(line_dedup.line_dedup(docs)).drop("n_lines", "n_dropped")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
