@@ -10,10 +10,12 @@ a chunk are its four choices of three symbols, one allowed error each.
 1. Equal sets are one class, named by its smallest id; only classes go on.
 2. In each key's bucket the smallest id is the centre. Each class is compared, on full sets, with the
    centre that it shares most keys with. Links found this way are joined to components.
-3. Buckets that still hold different components give all their pairs across components that are within
-   the signature distance (and whose sizes allow the similarity); these are compared on full sets, too.
-   Pairs inside a component need no look: they cannot change it. So no link between components is lost,
-   while a large group of near copies costs about one comparison a member, not all pairs.
+3. Pairs inside a component need no look: they cannot change it. For the classes of buckets that still hold
+   different components, the shingles that no other of them has are counted: they are in no
+   intersection and in every union, so that most classes, and pairs, that are not similar enough are
+   known by two numbers. The other pairs across components, if within the signature distance, are
+   compared on full sets, too; a class that met a larger component is compared with it in blocks. So no link between components is lost, while a large group of near
+   copies costs about one comparison a member, not all pairs.
 
 All steps are joins and aggregations by key; hot buckets are reduced by partial minima, or are hot keys of
 joins that adaptive execution splits. Tables that are used again are written to the shared folder.
@@ -45,6 +47,8 @@ FACTORS = SEED.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint
 MASKS = SEED.integers(0, 1 << 63, SYMBOLS, np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 AT_ONCE = 2048
+# Members up to which a bucket's main component is met pair by pair; sets and shingles compared at once.
+FEW, BLOCK, COLUMNS = 4, 256, 8192
 
 
 def shingles(text: str) -> np.ndarray:
@@ -142,6 +146,96 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_batch(pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b"), to_batch, "a long, b long")
 
 
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """The keys that have several components, each with the one that has most members."""
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    found = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
+    return found.where("parts > 1").select("key", F.col("most.component").alias("main"), F.col("most.n").alias("n_main"))
+
+
+def linkable(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """With the number of shingles that no other candidate has; those with too many of them go."""
+
+    def to_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(own))], ["id", "shingle"])
+
+    full = sets.join(candidates.select("id"), "id", "left_semi")
+    single = by_batch(full.select("id", "own"), to_batch, "id long, shingle long").groupBy("shingle")
+    single = single.agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
+    candidates = candidates.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return candidates.where(f"100 * (n - alone) >= {percent} * n")
+
+
+def pairs_across(left: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket across components that can be similar enough, but for large main components.
+
+    One of a pair is outside the bucket's main component, so that this need not meet itself. Shingles
+    that only one candidate has are in no intersection, but in every union with it.
+    """
+    right = left.where(f"component != main OR n_main <= {FEW}").toDF(*(f"{c}_b" for c in left.columns))
+    most, least = "least(n - alone, n_b - alone_b)", "greatest(n + alone_b, n_b + alone)"
+    return (
+        left.where("component != main")
+        .join(right, F.col("key") == F.col("key_b"))
+        .where("component != component_b AND (component_b = main OR id < id_b)")
+        .where(f"100 * {most} >= {percent} * {least}")
+        .where(differing("symbols", "symbols_b") <= MOST_DIFFER)
+        .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+        .distinct()
+    )
+
+
+def linked_to_component(left: DataFrame, able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links into the larger main components of the classes that met them in a bucket.
+
+    The classes asked and the component's members go, in blocks, to one task for each pair of blocks,
+    which counts all intersections as a product of two matrices and gives the links only.
+    """
+    asked = left.where(f"component != main AND n_main > {FEW}").select("id", F.col("main").alias("of")).distinct()
+    asked = written(asked, "asked")
+    of = able.select("id", F.col("component").alias("of")).join(asked.select("of").distinct(), "of", "left_semi")
+    sides = asked.select("id", "of", F.lit(0).alias("side")).union(of.select("id", "of", F.lit(1).alias("side")))
+    sizes = asked.groupBy("of").agg(F.count("*").alias("n_asked")).join(of.groupBy("of").agg(F.count("*").alias("n_of")), "of")
+    blocks = lambda n: F.expr(f"CAST(ceil({n} / {BLOCK}) AS int)")
+    own = F.when(F.col("side") == 0, blocks("n_asked")).otherwise(blocks("n_of"))
+    others = F.when(F.col("side") == 0, blocks("n_of")).otherwise(blocks("n_asked"))
+    dealt = (
+        sides.join(sizes, "of")
+        .withColumn("own", F.pmod(F.xxhash64("id"), own))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+        .select(
+            "id", "of", "side",
+            F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("asking"),
+            F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("answering"),
+        )
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
+        size = np.array([len(x) for x in own], np.int64)
+        values, at = np.unique(np.concatenate(own), return_inverse=True)
+        row = np.repeat(np.arange(len(own)), size)
+        one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = np.zeros((len(one), len(other)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        for start in range(0, len(values), COLUMNS):
+            part = slice(*np.searchsorted(at, (start, start + COLUMNS)))
+            has = np.zeros((len(own), COLUMNS), np.float32)
+            has[row[part], at[part] - start] = 1
+            common += has[one] @ has[other].T
+        union = size[one][:, None] + size[other][None, :] - common
+        left, right = np.nonzero(100 * common.astype(np.int64) >= percent * union.astype(np.int64))
+        a, b = ids[one[left]], ids[other[right]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.join(sets, "id").groupBy("of", "asking", "answering").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row."""
     if percent < 75:
@@ -171,23 +265,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     links = written(linked(first, sets, percent), "links")
     part = components(links)
 
-    # Buckets with several components: all pairs across them within the signature distance.
     placed = classes.select("id", "n", "symbols").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(placed, "placed")
     members = keys.join(centres.select("key"), "key", "left_semi").join(placed.select("id", "component"), "id")
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = written(mixed.where("low < high").select("key"), "mixed")
-    left = written(members.join(mixed, "key", "left_semi").select("key", "id").join(placed, "id"), "members")
-    right = left.toDF(*(f"{c}_b" for c in left.columns))
-    across = (
-        left.join(right, F.col("key") == F.col("key_b"))
-        .where("id < id_b AND component != component_b")
-        .where("100 * least(n, n_b) >= " + str(percent) + " * greatest(n, n_b)")
-        .where(differing("symbols", "symbols_b") <= MOST_DIFFER)
-        .select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
-    )
-    more = written(linked(written(across, "across"), sets, percent), "links")
+    members = written(members.join(mixed_buckets(members), "key", "left_semi"), "members")
+    able = written(linkable(members.select("id").distinct().join(placed, "id"), sets, percent), "linkable")
+    left = members.select("key", "id").join(able, "id")
+    left = written(left.join(written(mixed_buckets(left), "mixed"), "key"), "members")
+    more = linked(written(pairs_across(left, percent), "across"), sets, percent)
+    more = written(more.union(linked_to_component(left, able, sets, percent)), "links")
 
     # Ids that stand in several rows with different sets hold these sets' classes together.
     of_class = classes.select("set_hash", F.col("id").alias("class"))
