@@ -1,0 +1,149 @@
+"""Plain versions of what the registered queries return, over rows in memory."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import log10
+
+import pandas as pd
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def sha(text: str | bytes) -> str:
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def crc(doc_id: int) -> int:
+    return zlib.crc32(str(doc_id).encode())
+
+
+def substrings(rows: list[tuple[int, str | None]], length: int = 200) -> list[tuple]:
+    texts = [(text or "").encode() for _, text in rows]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for (doc_id, _), text in zip(rows, texts):
+        gone = [False] * len(text)
+        for i in range(len(text) - length + 1):
+            if seen[text[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        out.append((doc_id, len(text), sum(gone), spans, sha(kept)))
+    return out
+
+
+def lm_base(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    tokens = {i: [*words(lower(t or "")), None] for i, t in rows}
+    held = {i: crc(i) % 7 == 2 for i in tokens}
+    seen = Counter(w for i, own in tokens.items() if not held[i] for w in own)
+    n, v = sum(seen.values()), len(seen)
+    return {
+        i: (held[i], len(own), sum(seen[w] > 0 for w in own), n, sum(log10((seen[w] + 1) / (n + v + 1)) for w in own))
+        for i, own in tokens.items()
+    }
+
+
+def shared_lines(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    key = lambda line: lower(line.strip(SPACE))
+    holders = defaultdict(set)
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            if doc_id is not None and len(key(line)) >= 10:
+                holders[key(line)].add(doc_id)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        gone = lambda x: doc_id is not None and len(holders[key(x)]) > 1 and min(holders[key(x)]) != doc_id
+        kept = [x for x in lines if not gone(x)]
+        out.append((doc_id, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    return out
+
+
+def shingle_set(text: str | None) -> frozenset:
+    own = words(lower(text or ""))
+    if len(own) < 5:
+        return frozenset([tuple(own)] if own else [])
+    return frozenset(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+
+
+def near_components(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    sets = defaultdict(list)
+    for doc_id, text in rows:
+        sets[doc_id].append(shingle_set(text))
+    holders = defaultdict(set)
+    for doc_id, several in sets.items():
+        for k, own in enumerate(several):
+            for shingle in own:
+                holders[shingle].add((doc_id, k))
+    common = Counter()
+    for own in holders.values():
+        own = sorted(own)
+        common.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for ((a, k), (b, m)), n in common.items():
+        if 100 * n >= 75 * len(sets[a][k] | sets[b][m]):
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    return {i: top(i) for i in sets}
+
+
+def item_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def item_hits(docs, items, window: int = 10) -> list[tuple]:
+    windows = defaultdict(set)
+    for item, text in items:
+        own = item_words(text)
+        for i in range(max(1, len(own) - window + 1)) if own else ():
+            windows[tuple(own[i : i + window])].add("" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in docs:
+        own, hit, found = item_words(text), set(), set()
+        for size in sizes:
+            for i in range(len(own) - size + 1):
+                if tuple(own[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+                    found |= windows[tuple(own[i : i + size])]
+        out.append((doc_id, len(own), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
+
+
+def quality_base(text: str | None) -> tuple:
+    text = text or ""
+    own = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    at = defaultdict(list)
+    for i in range(len(own) - 4):
+        at[tuple(own[i : i + 5])].append(i)
+    covered = {i + k for places in at.values() if len(places) > 1 for i in places for k in range(5)}
+    n = len(own)
+    return (
+        n, sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
+        n < 10 or 100 * len(covered) > 20 * n,
+    )
+
+
+def rows_of(frame: pd.DataFrame, *columns: str) -> list[tuple]:
+    """Rows as plain tuples in a fixed order; None for what is missing."""
+    plain = frame[list(columns)].astype(object)
+    return sorted((tuple(x.values()) for x in plain.where(plain.notna(), None).to_dict("records")), key=str)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality, suffix_dedup, token_counts
+from weekpulse.llm.oracle import ORACLE
 from weekpulse.llm.tables import crc_of_id, read_table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,5 +96,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
-
-ORACLE: dict[str, str] = {}
