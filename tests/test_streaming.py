@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import os
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.comparing import DATA, assert_same, duck
+from tests.facts import LAST_WEEK, TODAY, fact, row
+from tests.plans import ran
 from weekpulse import Report
 from weekpulse.oracle import ORACLE
 from weekpulse.queries import SPEC
-from weekpulse.sources.events import EVENTS, event_feed, events_to_fact, read_customers
-from weekpulse.sources.fact import FACT_SCHEMA
+from weekpulse.sources.events import CUSTOMERS, EVENTS, event_feed, events_to_fact, read_customers
+from weekpulse.sources.fact import FACT_COLUMNS, FACT_SCHEMA
 from weekpulse.sources.shared import new_folder
-from weekpulse.streaming.rollup import HOUR_KEYS, hour_totals, read_rollup, start_rollup, windowed_totals
+from weekpulse.streaming import rollup
+from weekpulse.streaming.rollup import (
+    HOUR_KEYS,
+    compact_rollup,
+    hour_totals,
+    read_rollup,
+    start_rollup,
+    windowed_totals,
+)
 
 FOLDER = f"{DATA}/sf0.01"
 
@@ -52,7 +65,7 @@ def test_batches_in_any_order_equal_the_batch_answer(spark):
     rolled = read_rollup(spark, f"{place}/table", SPEC)
     assert_same(Report(rolled, SPEC).summary().toPandas(), duck(FOLDER).execute(ORACLE["wow_summary"]).df())
     assert_same(Report(rolled, SPEC).hourly().toPandas(), duck(FOLDER).execute(ORACLE["hourly_cube"]).df())
-    assert {f.split("event_date=")[1][:10] for f in rolled.inputFiles()} == {"2024-01-08", "2024-01-15"}
+    assert "PartitionFilters: [event_date#" in ran(Report(rolled, SPEC).summary())
     # Nothing new: nothing is added.
     before = read_rollup(spark, f"{place}/table").count()
     run(spark, inbox, place)
@@ -71,36 +84,123 @@ def test_days_without_rows(spark):
         read_rollup(spark, f"{place}/nothing", SPEC)
 
 
-def test_customers_growing_past_the_broadcast_limit(spark):
-    """Batches of either join are read together."""
-    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
-    customers = read_customers(spark, FOLDER)
-    for limit, keep in ((10**9, F.dayofmonth("ts") <= 12), (0, F.dayofmonth("ts") > 12)):
-        add_file(spark, inbox, keep)
-        start_rollup(
-            spark.readStream.schema(EVENTS).parquet(inbox),
-            f"{place}/table",
-            f"{place}/checkpoint",
-            lambda batch, limit=limit: events_to_fact(batch, customers, broadcast_limit=limit),
-            once=True,
-        ).awaitTermination()
-    rolled = read_rollup(spark, f"{place}/table", SPEC)
-    assert_same(Report(rolled, SPEC).summary().toPandas(), duck(FOLDER).execute(ORACLE["wow_summary"]).df())
+def add_events(spark, inbox, rows):
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(inbox)
+
+
+def event(at, value=None, kind="view", user=1, number=0):
+    return (at, TODAY, user, kind, value, f'{{"k": {number}}}')
+
+
+def start(spark, inbox, place, checkpoint="checkpoint", customers=((1, "a"),), to_fact=None):
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    known = spark.createDataFrame(list(customers), CUSTOMERS)
+    query = start_rollup(
+        events,
+        f"{place}/table",
+        f"{place}/{checkpoint}",
+        to_fact or (lambda batch: events_to_fact(batch, known)),
+        once=True,
+    )
+    query.awaitTermination()
+
+
+def counted(spark, place):
+    return read_rollup(spark, f"{place}/table").agg(F.sum("notification_shown")).first()[0]
+
+
+def forget_last_commit(place):
+    """As after losing the driver between writing the last batch and committing it."""
+    commits = f"{place}/checkpoint/commits"
+    last = max(int(name) for name in os.listdir(commits) if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.unlink(f"{commits}/{name}")
+    return last
+
+
+def test_a_new_checkpoint_adds_to_a_filled_table(spark):
+    place = new_folder(spark, "rollup")
+    for name, n in (("one", 5), ("two", 3)):
+        inbox = new_folder(spark, "inbox")
+        add_events(spark, inbox, [event(k) for k in range(n)])
+        start(spark, inbox, place, name)
+    assert counted(spark, place) == 8
 
 
 def test_a_batch_run_again_replaces_itself(spark):
-    """As after losing the driver between writing a batch and committing it."""
     inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
-    add_file(spark, inbox, F.dayofmonth("ts") == 15)
-    run(spark, inbox, place)
-    once = hour_totals(read_rollup(spark, f"{place}/table"), HOUR_KEYS).toPandas()
-    # A new checkpoint starts over at batch 0, as an uncommitted batch would.
-    events = spark.readStream.schema(EVENTS).parquet(inbox)
-    customers = read_customers(spark, FOLDER)
-    start_rollup(
-        events, f"{place}/table", f"{place}/other", lambda b: events_to_fact(b, customers), once=True
-    ).awaitTermination()
-    assert_same(hour_totals(read_rollup(spark, f"{place}/table"), HOUR_KEYS).toPandas(), once)
+    add_events(spark, inbox, [event(1)])
+    start(spark, inbox, place)
+    add_events(spark, inbox, [event(2)])
+    start(spark, inbox, place)
+    assert forget_last_commit(place) == 1
+    start(spark, inbox, place)
+    assert counted(spark, place) == 2
+
+
+def test_a_batch_run_again_leaves_nothing_of_its_first_attempt(spark):
+    """A customer is gone by then, and with it the only row of a day."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    other_day = (2, LAST_WEEK, 2, "view", None, '{"k": 0}')
+    add_events(spark, inbox, [event(1), other_day])
+    start(spark, inbox, place, customers=((1, "a"), (2, "b")))
+    assert counted(spark, place) == 2
+    forget_last_commit(place)
+    start(spark, inbox, place, customers=((1, "a"),))
+    assert counted(spark, place) == 1
+
+
+def test_sums_do_not_depend_on_the_cut_into_batches(spark):
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    fine = lambda batch: batch.select(
+        F.lit("a").alias("brand"), F.lit("f").alias("feature"), F.lit("s").alias("source"), F.col("ts").alias("date_hour"),
+        F.col("value").cast("decimal(10,4)").alias("revenue"), *(F.lit(1).alias(c) for c in FACT_COLUMNS[5:]),
+    )
+    for k in range(4):
+        add_events(spark, inbox, [event(k, 0.004)])
+    start(spark, inbox, place, to_fact=fine)
+    assert read_rollup(spark, f"{place}/table").agg(F.sum("revenue")).first()[0] == Decimal("0.016")
+    rows = fact(spark, row(TODAY))
+    for kind in ("double", "decimal(18,7)"):
+        with pytest.raises(ValueError, match="scale"):
+            hour_totals(rows.withColumn("revenue", F.col("revenue").cast(kind)), HOUR_KEYS)
+
+
+@pytest.mark.parametrize("crash", [None, "written", "noted"])
+def test_compaction_loses_nothing(spark, monkeypatch, crash):
+    """Also if it stops after writing the sums, or after noting them and before removing files."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    table = f"{place}/table"
+    for k in range(4):
+        add_events(spark, inbox, [event(k), event(10 + k)])
+    start(spark, inbox, place)
+    assert counted(spark, place) == 8
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    if crash:
+        # The note is made from a range.
+        monkeypatch.setattr(*((spark.__class__, "range") if crash == "written" else (rollup, "_clean")), stop)
+        with pytest.raises(KeyboardInterrupt):
+            compact_rollup(spark, table)
+        monkeypatch.undo()
+        assert counted(spark, place) == 8
+    compact_rollup(spark, table)
+    assert counted(spark, place) == 8
+    assert len({f for f in read_rollup(spark, table).inputFiles() if "/batches/" in f}) >= 1
+    batches = spark.read.parquet(f"{table}/batches").select("batch_id").distinct().collect()
+    assert [r.batch_id for r in batches] == [3]
+    # The newest batch may still be run again, and the stream goes on.
+    forget_last_commit(place)
+    start(spark, inbox, place)
+    assert counted(spark, place) == 8
+    add_events(spark, inbox, [event(20)])
+    start(spark, inbox, place)
+    compact_rollup(spark, table)
+    assert counted(spark, place) == 9
+    assert [r.upto for r in spark.read.parquet(f"{table}/compacted").select("upto").distinct().collect()] == [3]
 
 
 @pytest.mark.parametrize("mode", ["complete", "append"])
@@ -114,7 +214,7 @@ def test_windowed_totals_equal_the_batch_answer(spark, mode):
     stream = spark.readStream.schema(FACT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
     # Files are taken in the order they were written.
     query = (
-        windowed_totals(stream, "10 days")
+        windowed_totals(stream, horizon="10 days")
         .writeStream.format("memory")
         .queryName(f"windowed_{mode}")
         .outputMode(mode)
@@ -133,6 +233,13 @@ def test_windowed_totals_equal_the_batch_answer(spark, mode):
     assert_same(found.toPandas(), wanted.toPandas())
 
 
+def test_windows_stay_open_for_the_lookback(spark):
+    stream = spark.readStream.schema(FACT_SCHEMA).parquet(f"{DATA}/sf0.01/{{events}}.parquet")
+    for days, wanted in ((7, "8 days"), (14, "15 days")):
+        plan = windowed_totals(stream, days)._jdf.queryExecution().logical().toString()
+        assert f"EventTimeWatermark" in plan and wanted in plan
+
+
 def test_windows_need_a_utc_session(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Kathmandu")
     try:

@@ -19,4 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/weekpulse/{purpose}-{uuid.uuid4().hex}"
+    """A path to write to. It is removed when the driver ends, since results are read from it later."""
+    parent = f"{shared_folder(spark)}/weekpulse/{purpose}-{uuid.uuid4().hex}"
+    files, path = file_system(spark, parent)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{parent}/rows"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    files, path = file_system(spark, folder)
+    files.delete(path, True)
+
+
+def file_system(spark: SparkSession, folder: str) -> tuple:
+    """Hadoop's file system of the folder, which Spark itself writes with, and the folder's path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

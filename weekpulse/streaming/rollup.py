@@ -3,6 +3,11 @@
 Reports add rows up, whatever their number per key. So each micro-batch only has to append its own
 hourly sums: there is no state to keep, and an event is counted however late it comes. Where a
 consumer wants finished hours instead, `windowed_totals` keeps state up to a watermark.
+
+The table has three folders. `batches` has one folder per run and micro-batch; a run is a stream with its
+checkpoint, so that a new checkpoint adds to the table and never replaces what another run wrote.
+`compacted` has, per run, the sums of all its batches up to one; `compactions` has a row for each
+compaction that is complete. Readers take a run's last complete compaction and the batches after it.
 """
 
 from __future__ import annotations
@@ -10,27 +15,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from weekpulse.operators.measures import FACT_COLUMN
-from weekpulse.sources.fact import DAY, FACT_SCHEMA, as_fact, report_days
+from weekpulse.sources.fact import DAY, FACT_SCHEMA, as_fact
+from weekpulse.sources.shared import remove
 from weekpulse.spec import ReportSpec
 
-BATCH = "batch_id"
+RUN, BATCH, UPTO = "run_id", "batch_id", "upto"
+SUMS = [*[f for f in FACT_SCHEMA if f.name != "revenue"], T.StructField("revenue", T.DecimalType(38, 6))]
+REVENUE_SCALE = 6
 ROLLUP = T.StructType(
-    [
-        *[f for f in FACT_SCHEMA if f.name != "revenue"],
-        T.StructField("revenue", T.DecimalType(28, 2)),
-        T.StructField(DAY, T.DateType()),
-        T.StructField(BATCH, T.LongType()),
-    ]
+    [*SUMS, T.StructField(RUN, T.StringType()), T.StructField(BATCH, T.LongType()), T.StructField(DAY, T.DateType())]
 )
+COMPACTED = T.StructType([*ROLLUP.fields[:-2], T.StructField(UPTO, T.LongType()), T.StructField(DAY, T.DateType())])
+COMPACTIONS = T.StructType([T.StructField(RUN, T.StringType()), T.StructField(UPTO, T.LongType())])
 REFRESH_INTERVAL = "5 minutes"
-# Last week's period must stay readable: the lookback and a day.
-HORIZON = "8 days"
 UTC = ("UTC", "Etc/UTC")
 HOUR_KEYS = ("brand", "feature", "source", "date_hour")
 
@@ -46,20 +49,17 @@ def start_rollup(
     """Appends the hourly sums of each micro-batch to the Parquet table at `table`.
 
     `to_fact` turns a micro-batch into fact rows. `table` and `checkpoint` must be folders that all
-    executors share. A batch run again after a failure replaces what it had written.
+    executors share. A batch run again after a failure replaces all that it had written, also on
+    days that it has no rows of any more. Events read again under a new checkpoint count again.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        sums = hour_totals(to_fact(batch), HOUR_KEYS).select(
-            "*", F.to_date("date_hour").alias(DAY), F.lit(batch_id).alias(BATCH)
-        )
-        (
-            sums.hint("rebalance", DAY)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(DAY, BATCH)
-            .parquet(table)
-        )
+        # Kept in the checkpoint, and so the same after a restart.
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise RuntimeError("the stream's identity is not known")
+        sums = hour_totals(to_fact(batch), HOUR_KEYS).withColumn(DAY, F.to_date("date_hour"))
+        _write(sums, f"{table}/batches/{RUN}={run}/{BATCH}={batch_id}")
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": interval}
@@ -67,42 +67,114 @@ def start_rollup(
 
 
 def read_rollup(spark: SparkSession, table: str, spec: ReportSpec | None = None) -> DataFrame:
-    """The rolled-up fact rows.
+    """The rolled-up fact rows; with a spec those of its two days, whose files alone are read."""
+    batches, compacted = _current(spark, table)
+    rows = batches.drop(BATCH)
+    if compacted is not None:
+        rows = rows.union(compacted.drop(UPTO))
+    return as_fact(rows, spec, DAY)
+
+
+def compact_rollup(spark: SparkSession, table: str, clean: bool = True) -> None:
+    """Adds up all batches of each run but the newest, which may be run again.
 
-    With a spec only the folders of its two days are even listed; the table gains one folder per
-    day and batch, so that listing it all takes longer and longer.
+    Written first, then noted as complete, and only then are the old files removed: after a crash in
+    between, readers still take either the batches or their sums. Readers that have listed files before
+    they are removed fail; with `clean` false they stay until the next compaction.
     """
-    reader = spark.read.schema(ROLLUP).option("basePath", table)
-    if spec is None:
-        return as_fact(reader.parquet(table))
-    folders = [f"{table}/{DAY}={day}" for day in report_days(spec)]
-    present = [folder for folder in folders if _is_there(reader, folder)]
-    # With no such day the whole table is asked, which fails if there is none.
-    return as_fact(reader.parquet(*(present or [table])), spec)
+    batches, compacted = _current(spark, table)
+    newest = {r[RUN]: r.newest for r in batches.groupBy(RUN).agg(F.max(BATCH).alias("newest")).collect()}
+    done = _complete(spark, table)
+    for run, last in newest.items():
+        upto = last - 1
+        closed = batches.where((F.col(RUN) == run) & (F.col(BATCH) <= upto)).drop(BATCH)
+        if upto <= done.get(run, -1) or closed.isEmpty():
+            continue
+        if compacted is not None:
+            closed = closed.union(compacted.where(F.col(RUN) == run).drop(UPTO))
+        sums = hour_totals(closed, HOUR_KEYS).withColumn(DAY, F.to_date("date_hour"))
+        _write(sums, f"{table}/compacted/{RUN}={run}/{UPTO}={upto}")
+        # One file of one row, which is there or not.
+        note = spark.range(1).select(F.lit(run).alias(RUN), F.lit(upto).cast("bigint").alias(UPTO))
+        note.write.mode("append").parquet(f"{table}/compactions")
+    if clean:
+        _clean(spark, table)
+
+
+def _clean(spark: SparkSession, table: str) -> None:
+    """Removes what complete compactions stand for."""
+    done = _complete(spark, table)
+    for folder, column, schema in (("batches", BATCH, ROLLUP), ("compacted", UPTO, COMPACTED)):
+        rows = _read(spark, f"{table}/{folder}", schema)
+        if rows is None:
+            continue
+        for row in rows.select(RUN, column).distinct().collect():
+            last = done.get(row[RUN], -1)
+            if row[column] < last or row[column] == last and column == BATCH:
+                remove(spark, f"{table}/{folder}/{RUN}={row[RUN]}/{column}={row[column]}")
+
+
+def _current(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame | None]:
+    """The batches after the last complete compactions, and these."""
+    batches = spark.read.schema(ROLLUP).parquet(f"{table}/batches")
+    done = _complete(spark, table)
+    if not done:
+        return batches, None
+    compacted = spark.read.schema(COMPACTED).parquet(f"{table}/compacted")
+    return (
+        batches.where(~_any((F.col(RUN) == run) & (F.col(BATCH) <= upto) for run, upto in done.items())),
+        compacted.where(_any((F.col(RUN) == run) & (F.col(UPTO) == upto) for run, upto in done.items())),
+    )
 
 
-def hour_totals(fact: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Sums in the rollup's types, whatever the input's decimals were."""
-    sums = [F.sum(c).cast(ROLLUP[c].dataType).alias(c) for c in FACT_COLUMN.values()]
-    return fact.groupBy(*keys).agg(*sums)
+def _complete(spark: SparkSession, table: str) -> dict[str, int]:
+    notes = _read(spark, f"{table}/compactions", COMPACTIONS)
+    if notes is None:
+        return {}
+    return {r[RUN]: r.upto for r in notes.groupBy(RUN).agg(F.max(UPTO).alias(UPTO)).collect()}
 
 
-def _is_there(reader: DataFrameReader, folder: str) -> bool:
+def _read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame | None:
     try:
-        reader.parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return False
+            return None
         raise
-    return True
 
 
-def windowed_totals(stream: DataFrame, horizon: str = HORIZON) -> DataFrame:
+def _any(conditions) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result |= condition
+    return result
+
+
+def _write(sums: DataFrame, folder: str) -> None:
+    writer = sums.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(DAY).parquet(folder)
+
+
+def hour_totals(fact: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Exact sums in the rollup's types; revenue with more decimals than these hold is refused."""
+    revenue = fact.schema["revenue"].dataType
+    if not isinstance(revenue, T.DecimalType) or revenue.scale > REVENUE_SCALE:
+        raise ValueError(f"revenue is {revenue.simpleString()}, not a decimal of scale {REVENUE_SCALE} at most")
+    kinds = {field.name: field.dataType for field in SUMS}
+    sums = [F.sum(c).cast(kinds[c]).alias(c) for c in FACT_COLUMN.values()]
+    return fact.groupBy(*keys).agg(*sums).select(*(c for c in kinds if c in (*keys, *FACT_COLUMN.values())))
+
+
+def windowed_totals(
+    stream: DataFrame, lookback_days: int = ReportSpec.lookback_days, horizon: str | None = None
+) -> DataFrame:
     """Hourly sums of a stream of fact rows as a stateful window aggregation.
 
     State is bounded by `horizon`; rows later than that are dropped, which is why the rollup above
-    does not use it. Windows are cut on the session's clock, which therefore has to be UTC.
+    does not use it. If not given it is the reports' lookback and a day, so that all hours that they
+    read stay open. Windows are cut on the session's clock, which therefore has to be UTC.
     """
+    horizon = horizon or f"{lookback_days + 1} days"
     if stream.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC:
         raise ValueError("set spark.sql.session.timeZone to UTC")
     timed = stream.withColumn("event_time", F.col("date_hour").cast("timestamp"))
