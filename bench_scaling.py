@@ -21,7 +21,7 @@ from weekpulse import Report
 from weekpulse.queries import SPEC
 from weekpulse.session import build_session
 from weekpulse.sources.events import CUSTOMERS, EVENTS, events_to_fact
-from weekpulse.sources.fact import read_fact, write_fact
+from weekpulse.sources.fact import DAY, read_fact, write_fact
 
 SOURCE = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
@@ -71,16 +71,15 @@ def main() -> None:
     customers = spark.read.schema(CUSTOMERS).parquet(f"{folder}/customer.parquet")
     write_fact(events_to_fact(events, customers), f"{folder}/fact")
 
-    def feed(limit: int):
-        return lambda: events_to_fact(events, customers, SPEC, broadcast_limit=limit)
+    def feed():
+        return events_to_fact(events, customers, SPEC)
 
     def table():
-        return read_fact(spark, path=f"{folder}/fact", spec=SPEC)
+        return read_fact(spark, path=f"{folder}/fact", spec=SPEC, day_column=DAY)
 
     cases = {
-        "events, customers broadcast": (feed(10**12), Report.summary),
-        "events, customers shuffled": (feed(0), Report.summary),
-        "events, customers shuffled, full outer join": (feed(0), Report.summary_by_join),
+        "events": (feed, Report.summary),
+        "events, full outer join": (feed, Report.summary_by_join),
         "fact by day": (table, Report.summary),
         "fact by day, full outer join": (table, Report.summary_by_join),
         "fact by day, hourly cube": (table, Report.hourly),

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 from datetime import date, datetime
+from decimal import Decimal
 from unittest.mock import Mock
 
+import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.comparing import DATA, assert_same, duck
 from tests.facts import LAST_WEEK, SPEC as EDGE_SPEC, TODAY, fact, row
 from tests.plans import planned, ran
 from weekpulse import Report
-from weekpulse.oracle import ORACLE
+from weekpulse.oracle import FACT, ORACLE
 from weekpulse.queries import EARLY, SPEC
 from weekpulse.sources.events import (
     CUSTOMERS,
@@ -22,6 +27,7 @@ from weekpulse.sources.events import (
     event_feed,
     events_to_fact,
     read_customers,
+    rejected_events,
 )
 from weekpulse.sources.export import export, export_path, read_export
 from weekpulse.sources.fact import FACT_COLUMNS, as_fact, read_fact, report_days, write_fact
@@ -29,7 +35,9 @@ from weekpulse.sources.jdbc import (
     connection_properties,
     period_predicates,
     read_jdbc,
+    read_jdbc_sums,
     split_predicates,
+    sums_statement,
     warehouse_url,
 )
 from weekpulse.sources.shared import new_folder, shared_folder
@@ -47,7 +55,7 @@ def fact_path(spark):
 def test_written_fact_reads_two_days(spark, fact_path):
     assert report_days(SPEC) == [date(2024, 1, 15), date(2024, 1, 8)]
     assert report_days(EARLY) == [date(2024, 1, 15)]
-    fact_rows = read_fact(spark, path=fact_path, spec=SPEC)
+    fact_rows = read_fact(spark, path=fact_path, spec=SPEC, day_column="event_date")
     assert {p.split("event_date=")[1][:10] for p in fact_rows.inputFiles()} >= {"2024-01-15"}
     plan = ran(Report(fact_rows, SPEC).summary())
     assert "PartitionFilters: [event_date#" in plan
@@ -57,7 +65,7 @@ def test_written_fact_reads_two_days(spark, fact_path):
 
 def test_fact_table_by_name(spark, fact_path):
     spark.read.parquet(fact_path).createOrReplaceTempView("fact_rows")
-    fact_rows = read_fact(spark, table="fact_rows", spec=SPEC)
+    fact_rows = read_fact(spark, table="fact_rows", spec=SPEC, day_column="event_date")
     assert fact_rows.columns == FACT_COLUMNS
     assert_same(
         Report(fact_rows, SPEC).hourly().toPandas(), duck(FOLDER).execute(ORACLE["hourly_cube"]).df()
@@ -69,6 +77,13 @@ def test_fact_needs_its_columns(spark):
         as_fact(fact(spark).drop("revenue"))
     with pytest.raises(ValueError):
         read_fact(spark)
+    # Sums of floating-point numbers depend on how rows are spread.
+    with pytest.raises(ValueError, match="revenue is double"):
+        as_fact(fact(spark).withColumn("revenue", F.col("revenue").cast("double")))
+    with pytest.raises(ValueError, match="new_devices is"):
+        as_fact(fact(spark).withColumn("new_devices", F.lit(1.5)))
+    whole = as_fact(fact(spark).withColumn("revenue", F.lit(3)).withColumn("new_devices", F.lit(1)))
+    assert dict(whole.dtypes)["revenue"] == "decimal(20,0)" and dict(whole.dtypes)["new_devices"] == "bigint"
 
 
 def test_revenue_of_other_types(spark):
@@ -84,23 +99,34 @@ def test_zoned_date_hour(spark):
     assert Report(zoned, EDGE_SPEC).hourly().collect() == Report(rows, EDGE_SPEC).hourly().collect()
 
 
-def test_small_customer_table_is_broadcast_and_a_large_one_is_not(spark):
-    events = spark.read.schema(EVENTS).parquet(f"{FOLDER}/events.parquet")
-    customers = read_customers(spark, FOLDER)
-    small = events_to_fact(events, customers, SPEC)
-    large = events_to_fact(events, customers, SPEC, broadcast_limit=0)
-    assert "BroadcastHashJoin" in planned(small)
-    assert_same(Report(small, SPEC).hourly().toPandas(), Report(large, SPEC).hourly().toPandas())
-    # The selection still reaches the scans below the aggregation.
-    plan = planned(Report(large, SPEC).summary())
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_small_customer_table_is_broadcast(spark):
+    assert "BroadcastHashJoin" in planned(event_feed(spark, FOLDER, SPEC))
+
+
+def test_large_customer_table_takes_one_shuffle_of_events(spark, no_broadcast):
+    feed = event_feed(spark, FOLDER, SPEC)
+    plan = planned(Report(feed, SPEC).summary())
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # Both sides of the join by user; the selection reaches both scans.
+    assert plan.count("Exchange hashpartitioning(user_id") + plan.count("Exchange hashpartitioning(c_custkey") == 2
     assert plan.count("PushedFilters: [Or(And(GreaterThanOrEqual(ts,") == 1
     assert "PushedFilters: [In(c_mktsegment" in plan
+    assert_same(Report(feed, SPEC).summary().toPandas(), duck(FOLDER).execute(ORACLE["wow_summary"]).df())
 
 
-def test_user_with_a_third_of_all_events(spark):
-    """Past the broadcast limit the hot user reaches the join as one row per hour and feature."""
+def test_user_with_a_third_of_all_events_is_split(spark, no_broadcast):
     hours = [datetime(2024, 1, 15, h) for h in range(3)]
-    spread = spark.range(60_000).select(
+    spread = spark.range(0, 60_000, 1, 16).select(
         F.col("id").alias("event_id"),
         F.element_at(F.lit(hours), (F.col("id") % 3 + 1).cast("int")).cast("timestamp_ntz").alias("ts"),
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("user_id"),
@@ -112,18 +138,78 @@ def test_user_with_a_third_of_all_events(spark):
         F.col("id").alias("c_custkey"), F.when(F.col("id") == 7, "hot").otherwise("rest").alias("c_mktsegment")
     )
     spec = replace(EDGE_SPEC, known_brands=("hot", "rest"))
-    large = events_to_fact(spread, customers, spec, broadcast_limit=0)
-    assert large.filter(F.col("brand") == "hot").count() == 1
-    found = {r.brand: r.notif_today for r in Report(large, spec).summary().collect()}
+    sizes = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        summary = Report(events_to_fact(spread, customers, spec), spec).summary()
+        assert "skew=true" in ran(summary)
+        found = {r.brand: r.notif_today for r in summary.collect()}
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
     assert found == {"hot": 20_000, "rest": 40_000}
 
 
-def test_large_customer_table_meets_sums_and_not_events(spark):
-    events = spark.read.schema(EVENTS).parquet(f"{FOLDER}/events.parquet")
-    large = events_to_fact(events, read_customers(spark, FOLDER), SPEC, broadcast_limit=0)
-    plan = planned(Report(large, SPEC).summary())
-    below = plan[plan.index("partial_sum", plan.index("Join")) :]
-    assert "FileScan" in below and "lane" in below
+def test_odd_events_are_rejected_and_counted(spark):
+    numbers = ["4.7", '"abc"', "1e1", "true", "99999999999", "null", "-3", '"5"', "6"]
+    amounts = [float("nan"), float("inf"), -float("inf"), 1e17, None, 2.5]
+    rows = [(k, TODAY, 5, "view", None, f'{{"k": {n}}}') for k, n in enumerate(numbers)]
+    rows += [(20 + k, TODAY, 5, "purchase", a, '{"k": 3}') for k, a in enumerate(amounts)]
+    # An odd amount matters for purchases only.
+    rows += [(40, TODAY, 5, "click", float("nan"), '{"k": 3}'), (41, TODAY, 5, "click", 1.0, None), (42, TODAY, 5, None, 1.0, "{")]
+    events = spark.createDataFrame(rows, EVENTS)
+    assert {r.outcome: r.n for r in rejected_events(events).collect()} == {"counted": 6, "number": 8, "amount": 4}
+    totals = fact_sums(events_to_fact(events, spark.createDataFrame([(5, "a")], CUSTOMERS)))
+    assert totals == (Decimal("2.50"), 3, 1, 2)
+    # The plain SQL of the checks has the same rule.
+    connection = duckdb.connect()
+    connection.register("events", pa.Table.from_pylist([dict(zip(EVENTS.fieldNames(), r)) for r in rows]))
+    connection.execute("CREATE TABLE customer AS SELECT 5 AS c_custkey, 'a' AS c_mktsegment")
+    found = connection.execute(ORACLE["rejected_events"]).fetchall()
+    assert dict(found) == {"counted": 6, "number": 8, "amount": 4}
+    sql = f"WITH {FACT} SELECT sum(revenue), sum(notification_shown), sum(experience_shown), sum(install_success) FROM fact"
+    assert connection.execute(sql).fetchone() == totals
+
+
+def fact_sums(rows):
+    names = ("revenue", "notification_shown", "experience_shown", "install_success")
+    return tuple(rows.agg(*(F.sum(c).alias(c) for c in names)).first())
+
+
+def test_days_by_arrival_filter_nothing(spark):
+    """A column that looks like the table's days is no filter unless it is named as one."""
+    events = spark.createDataFrame([(1, TODAY, 5, "view", None, '{"k": 3}'), (2, TODAY, 5, "view", None, '{"k": 3}')], EVENTS)
+    late = events.withColumn("event_date", F.expr("date'2024-01-15' + CAST(event_id - 1 AS int)"))
+    customers = spark.createDataFrame([(5, "a")], CUSTOMERS)
+    assert Report(events_to_fact(late, customers, EDGE_SPEC), EDGE_SPEC).kpi_totals().first().notif_today == 2
+    rows = fact(spark, row(TODAY, notif=1), row(TODAY, notif=1)).withColumn("event_date", F.lit(20240115))
+    assert Report(as_fact(rows, EDGE_SPEC), EDGE_SPEC).kpi_totals().first().notif_today == 2
+    with pytest.raises(ValueError, match="date column"):
+        as_fact(rows, EDGE_SPEC, "event_date")
+
+
+def test_rows_read_for_other_periods_are_refused(spark, fact_path):
+    later = replace(SPEC, as_of=datetime(2024, 1, 20, 12))
+    for rows in (event_feed(spark, FOLDER, SPEC), read_fact(spark, path=fact_path, spec=SPEC, day_column="event_date")):
+        with pytest.raises(ValueError, match="not read for"):
+            Report(rows, later)
+        with pytest.raises(ValueError, match="not read for"):
+            Report(rows.filter("notification_shown > 0"), later)
+        Report(rows, replace(SPEC, as_of=datetime(2024, 1, 15, 13)))
+    Report(read_fact(spark, path=fact_path), later)
+
+
+def test_single_days_are_replaced(spark):
+    path = new_folder(spark, "fact")
+    write_fact(fact(spark, row(TODAY, notif=1), row(LAST_WEEK, notif=2)), path)
+    write_fact(fact(spark, row(TODAY, notif=5)), path, "replace_days")
+    totals = Report(read_fact(spark, path=path), EDGE_SPEC).kpi_totals().first()
+    assert (totals.notif_today, totals.notif_last_week) == (5, 2)
 
 
 def test_event_log_by_day_reads_two_days(spark):
@@ -133,7 +219,7 @@ def test_event_log_by_day_reads_two_days(spark):
         "event_date"
     ).parquet(path)
     by_day = events_to_fact(
-        spark.read.schema(EVENTS).parquet(path), read_customers(spark, FOLDER), SPEC
+        spark.read.schema(EVENTS).parquet(path), read_customers(spark, FOLDER), SPEC, "event_date"
     )
     plan = ran(Report(by_day, SPEC).summary())
     assert "PartitionFilters: [event_date#" in plan
@@ -146,8 +232,8 @@ def test_user_listed_twice_counts_twice_either_way(spark):
         [(1, TODAY, 5, "purchase", 2.5, '{"k": 3}'), (2, TODAY, 5, "purchase", 1.5, '{"k": 3}')], EVENTS
     )
     customers = spark.createDataFrame([(5, "a"), (5, "b"), (6, "c")], CUSTOMERS)
-    for limit in (0, 10**9):
-        found = Report(events_to_fact(events, customers, EDGE_SPEC, limit), EDGE_SPEC).summary().collect()
+    for _ in range(1):
+        found = Report(events_to_fact(events, customers, EDGE_SPEC), EDGE_SPEC).summary().collect()
         assert [(r.brand, r.feature, r.revenue_today, r.install_today) for r in found] == [
             ("a", "feature_3", 4.0, 2), ("b", "feature_3", 4.0, 2)
         ]
@@ -157,15 +243,33 @@ def test_user_listed_twice_counts_twice_either_way(spark):
 def test_export(spark, tmp_path, format):
     rows = [row(TODAY, brand="x, \"y\"", revenue="0.10"), row(LAST_WEEK, brand="", revenue="3")]
     summary = Report(fact(spark, *rows), EDGE_SPEC).summary()
-    path = export(summary, str(tmp_path), EDGE_SPEC.as_of, format)
-    assert path.endswith("/metrics_20240115_1430")
+    path = export(summary, str(tmp_path), EDGE_SPEC.as_of, format=format)
+    assert path.endswith("/metrics_20240115_143000")
     assert_same(read_export(spark, path, summary.schema, format).toPandas(), summary.toPandas())
     if format == "csv":
         header = spark.read.text(path).filter(F.col("value").startswith("brand,feature,")).count()
         assert header >= 1
     with pytest.raises(ValueError):
-        export(summary, str(tmp_path), EDGE_SPEC.as_of, "xml")
-    assert export_path("a/", datetime(2024, 2, 3, 4, 5), "n") == "a/n_20240203_0405"
+        export(summary, str(tmp_path), EDGE_SPEC.as_of, format="xml")
+    # A second result of the same time neither overwrites the first nor is lost in silence.
+    with pytest.raises(AnalysisException):
+        export(summary.limit(1), str(tmp_path), EDGE_SPEC.as_of, format=format)
+    other = export(summary.limit(1), str(tmp_path), EDGE_SPEC.as_of, "other", format)
+    assert read_export(spark, path, summary.schema, format).count() == 2
+    assert read_export(spark, other, summary.schema, format).count() == 1
+    assert export_path("a/", datetime(2024, 2, 3, 4, 5, 6), "n") == "a/n_20240203_040506"
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_export_keeps_any_text(spark, tmp_path, format):
+    draw = random.Random(4)
+    letters = [*" \t\n\"'\\,;#|a\u00e9\u6f22\u3000", "\r\n", "\\\"", "\"\"", "null", "  "]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(6))) for _ in range(600)]
+    texts += [None, "", " ", " lead", "lead", "trail ", "a\nb", "\n", '"', "\\", '\\"', "#x", "NULL", "\u00a0"]
+    rows = spark.createDataFrame([(k, t, t, 1.5 if k % 2 else None) for k, t in enumerate(texts)], "n long, a string, b string, c double")
+    path = export(rows, str(tmp_path), EDGE_SPEC.as_of, format=format)
+    found = read_export(spark, path, rows.schema, format)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in rows.collect())
 
 
 def test_shared_folder_is_the_clusters(spark):
@@ -238,3 +342,34 @@ def test_jdbc_read_asks_for_the_slices(spark):
     assert options["properties"] == connection_properties({"user": "u"})
     assert rows.columns == FACT_COLUMNS
     assert Report(rows, EDGE_SPEC).kpi_totals().first().notif_today == 4
+
+
+def test_sums_are_asked_of_the_warehouse(spark):
+    """The grouped statement, run here by DuckDB over the same rows, and with a stand-in for the connection."""
+    rows = [row(TODAY, notif=4), row(TODAY, notif=3), row(LAST_WEEK, notif=2, brand="o'b"), row(TODAY, notif=9, brand="z")]
+    given = fact(spark, *rows)
+    spec = replace(EDGE_SPEC, brands=("a", "o'b"), features=(), known_features=())
+    connection = duckdb.connect()
+    connection.register("facts", given.toArrow())
+    session = Mock()
+
+    def read(url, statement, properties):
+        assert url == "jdbc:x" and properties["user"] == "u"
+        found = connection.execute(f"SELECT * FROM {statement}").fetchall()
+        longs = ", ".join(f"{c} bigint" for c in FACT_COLUMNS[5:])
+        kinds = f"brand string, feature string, source string, date_hour timestamp_ntz, revenue decimal(38,2), {longs}"
+        return spark.createDataFrame(found, kinds)
+
+    session.read.jdbc.side_effect = read
+    summed = read_jdbc_sums(session, "jdbc:x", "facts", spec, {"user": "u"})
+    assert summed.count() == 2
+    assert_same(Report(summed, spec).summary().toPandas(), Report(given, spec).summary().toPandas())
+
+
+def test_grouped_statement():
+    spec = replace(EDGE_SPEC, brands=("a'; DROP",), source="FOTA")
+    text = sums_statement("s.facts", spec, "date_hour > 1")
+    assert "brand IN ('a''; DROP')" in text and "(source = 'FOTA')" in text and "(date_hour > 1) AND" in text
+    assert text.endswith("GROUP BY brand, feature, source, date_hour) AS hourly_sums")
+    with pytest.raises(ValueError, match="not safe"):
+        sums_statement("s.facts", replace(spec, brands=("a\\",)), "TRUE")

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekpulse.functions.clock import moment, start_of_hour
-from weekpulse.operators.measures import FACT_COLUMN
-from weekpulse.sources.fact import DAY, FACT_COLUMNS, report_days
-from weekpulse.spec import Period, ReportSpec
+from weekpulse.sources.fact import FACT_COLUMNS, report_days
+from weekpulse.spec import Period, ReportSpec, read_for
 
 EVENTS = T.StructType(
     [
@@ -36,14 +35,15 @@ CUSTOMERS = T.StructType(
 
 N_FEATURES = 7
 N_SOURCES = 3
-# Bytes on disk; a hash table of this many stays small next to an executor's memory.
-BROADCAST_LIMIT = 10 * 1024 * 1024
-GRAIN = ("user_id", "lane", "date_hour")
+AMOUNT = "decimal(18,2)"
 
 
 def event_feed(spark: SparkSession, folder: str, spec: ReportSpec | None = None) -> DataFrame:
-    events = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
-    return events_to_fact(events, read_customers(spark, folder), spec)
+    return events_to_fact(read_events(spark, folder), read_customers(spark, folder), spec)
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
 
 
 def read_customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,31 +51,23 @@ def read_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events_to_fact(
-    events: DataFrame,
-    customers: DataFrame,
-    spec: ReportSpec | None = None,
-    broadcast_limit: int = BROADCAST_LIMIT,
+    events: DataFrame, customers: DataFrame, spec: ReportSpec | None = None, day_column: str | None = None
 ) -> DataFrame:
-    """With a spec, only events that its two periods can read; of a log by day, only those days.
+    """With a spec, only events that its two periods can read.
 
-    A customer table known to be at most `broadcast_limit` bytes is sent to the events, which are
-    then not shuffled at all. A larger or unknown one is met in a shuffle, before which each user's
-    events are summed by hour: however many events one user has, they arrive as a few hundred rows.
+    `day_column` names a date column of the log that holds the day of `ts`; with it only the report's
+    days are read. Events and customers meet in one join by user: broadcast if the customers are
+    small when they are read, else one shuffle of either side, in which adaptive execution splits a
+    user with very many events. Events that `rejected` names are left out.
     """
     if spec is not None:
-        if DAY in events.columns:
-            events = events.filter(F.col(DAY).isin(report_days(spec)))
+        if day_column is not None:
+            events = events.filter(F.col(day_column).isin(report_days(spec)))
         events = events.filter(_readable(spec.today) | _readable(spec.last_week))
-    hours = _hourly_events(events)
     brands = customers.select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("brand")
     )
-    size = _known_size(brands)
-    if size is not None and size <= broadcast_limit:
-        joined = hours.join(F.broadcast(brands), "user_id")
-    else:
-        measures = [F.sum(c).alias(c) for c in FACT_COLUMN.values()]
-        joined = hours.groupBy(*GRAIN).agg(*measures).join(brands, "user_id")
+    joined = _hourly_events(events).join(brands, "user_id")
     lane = F.col("lane")
     feature = F.concat(F.lit("feature_"), (lane % N_FEATURES).cast("string"))
     source = (
@@ -83,8 +75,23 @@ def events_to_fact(
         .when(lane % N_SOURCES == 1, "FOTA")
         .otherwise("other")
     )
-    named = joined.withColumns({"feature": feature, "source": source})
-    return named.select(*FACT_COLUMNS)
+    fact = joined.withColumns({"feature": feature, "source": source}).select(*FACT_COLUMNS)
+    return fact if spec is None else read_for(fact, spec)
+
+
+def rejected() -> Column:
+    """Why an event cannot count; NULL for one that can.
+
+    Its number must be a whole one of 32 bits, and a purchase's amount, where there is one, must fit
+    the revenue's type: NaN, infinite and too large amounts reject the event as a whole.
+    """
+    amount_lost = (F.col("event_type") == "purchase") & F.col("value").isNotNull() & _amount().isNull()
+    return F.when(_number_in("props", "k").isNull(), "number").when(amount_lost, "amount")
+
+
+def rejected_events(events: DataFrame) -> DataFrame:
+    """How many events count and how many do not, by reason."""
+    return events.groupBy(F.coalesce(rejected(), F.lit("counted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def _readable(period: Period) -> Column:
@@ -100,13 +107,13 @@ def _readable(period: Period) -> Column:
 
 def _hourly_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    # Feature and source both follow from this remainder; one small number to group and shuffle by.
+    # Feature and source both follow from this remainder.
     lane = _number_in("props", "k") % (N_FEATURES * N_SOURCES)
-    return events.select(
+    return events.where(rejected().isNull()).select(
         "user_id",
         lane.alias("lane"),
         start_of_hour(F.col("ts")).alias("date_hour"),
-        F.when(kind == "purchase", F.col("value")).otherwise(0).cast("decimal(18,2)").alias("revenue"),
+        F.when(kind == "purchase", _amount()).otherwise(0).cast(AMOUNT).alias("revenue"),
         _one_if(kind == "view").alias("notification_shown"),
         _one_if(kind == "click").alias("experience_shown"),
         _one_if(kind == "purchase").alias("install_success"),
@@ -114,6 +121,10 @@ def _hourly_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _amount() -> Column:
+    return F.col("value").try_cast(AMOUNT)
+
+
 def _number_in(column: str, key: str) -> Column:
     """A whole number in a JSON object.
 
@@ -123,18 +134,8 @@ def _number_in(column: str, key: str) -> Column:
     text, start = F.col(column), f'{{"{key}": '
     alone = F.substring(text, F.lit(len(start) + 1), F.length(text) - (len(start) + 1))
     number = F.when(text.startswith(start) & text.endswith("}"), alone.try_cast("int"))
-    return F.coalesce(number, F.get_json_object(text, f"$.{key}").cast("int"))
+    return F.coalesce(number, F.get_json_object(text, f"$.{key}").try_cast("int"))
 
 
 def _one_if(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0).cast("bigint")
-
-
-def _known_size(df: DataFrame) -> int | None:
-    """Catalyst's size of the columns read; None where it cannot be asked.
-
-    For columns read from files it follows from the files' sizes. Anything that makes rows (a join,
-    `explode`) is only estimated, so customers put together that way belong in a table first.
-    """
-    plan = getattr(df, "_jdf", None)
-    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())

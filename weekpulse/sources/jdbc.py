@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weekpulse.operators.measures import FACT_COLUMN
 from weekpulse.sources.fact import as_fact
-from weekpulse.spec import Period, ReportSpec
+from weekpulse.spec import Period, ReportSpec, read_for
 
 DEFAULT_PORT = 5439
 QUERY_TIMEOUT_SECONDS = 120
@@ -34,14 +36,58 @@ def read_jdbc(
     An hour too large for one connection is divided further by a whole-number column.
     """
     slices = period_predicates(spec, slice_hours=slice_hours)
-    return as_fact(
-        spark.read.jdbc(
-            url,
-            table,
-            predicates=split_predicates(slices, split_column, splits),
-            properties=connection_properties(properties),
-        )
+    rows = spark.read.jdbc(
+        url,
+        table,
+        predicates=split_predicates(slices, split_column, splits),
+        properties=connection_properties(properties),
     )
+    return read_for(as_fact(rows), spec)
+
+
+def read_jdbc_sums(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    spec: ReportSpec,
+    properties: dict[str, str] | None = None,
+    slice_hours: int = 24,
+) -> DataFrame:
+    """The selected rows summed in the warehouse by brand, feature, source and `date_hour`.
+
+    Reports add rows up, so these sums stand for the rows, and as many come over the wire as there
+    are keys. One connection per slice of the periods; its condition is inside the grouped statement,
+    so that each connection groups its own rows only.
+    """
+    parts = [
+        as_fact(spark.read.jdbc(url, sums_statement(table, spec, condition), properties=connection_properties(properties)))
+        for condition in period_predicates(spec, slice_hours=slice_hours)
+    ]
+    return read_for(reduce(DataFrame.union, parts), spec)
+
+
+def sums_statement(table: str, spec: ReportSpec, condition: str) -> str:
+    """A grouped subquery that stands for the table. Selected values are quoted as texts.
+
+    `table` is put in as it is given, as Spark does with its own `dbtable`.
+    """
+    keys = "brand, feature, source, date_hour"
+    sums = ", ".join(f"SUM({c}) AS {c}" for c in FACT_COLUMN.values())
+    conditions = [condition]
+    for name, values in (("brand", spec.selected_brands), ("feature", spec.selected_features)):
+        if values:
+            conditions.append(f"{name} IN ({', '.join(map(text_literal, values))})")
+    if spec.selected_source is not None:
+        conditions.append(f"source = {text_literal(spec.selected_source)}")
+    where = " AND ".join(f"({c})" for c in conditions)
+    return f"(SELECT {keys}, {sums} FROM {table} WHERE {where} GROUP BY {keys}) AS hourly_sums"
+
+
+def text_literal(text: str) -> str:
+    """A text in standard SQL. Backslashes are refused, since dialects read them differently."""
+    if "\\" in text or "\0" in text:
+        raise ValueError(f"not safe in a statement: {text!r}")
+    return "'" + text.replace("'", "''") + "'"
 
 
 def connection_properties(given: dict[str, str] | None = None) -> dict[str, str]:

@@ -6,7 +6,11 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 ALL_SOURCES = "All"
+READ_FOR = "read_for"
 
 
 class Period(NamedTuple):
@@ -87,5 +91,21 @@ class ReportSpec:
         return replace(self, as_of=as_of)
 
 
+def read_for(fact: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Notes with the rows which periods they were read for."""
+    periods = [f"{p.start.isoformat()}/{p.end.isoformat()}" for p in spec.periods if not p.empty]
+    return fact.withColumn("date_hour", F.col("date_hour").alias("date_hour", metadata={READ_FOR: periods}))
+
+
+def check_read_for(fact: DataFrame, spec: ReportSpec) -> None:
+    """Rows read for other periods would give a report without them, and no error."""
+    if "date_hour" not in fact.columns or READ_FOR not in fact.schema["date_hour"].metadata:
+        return
+    read = [[datetime.fromisoformat(x) for x in p.split("/")] for p in fact.schema["date_hour"].metadata[READ_FOR]]
+    for period in spec.periods:
+        if not period.empty and not any(start <= period.start and period.end <= end for start, end in read):
+            raise ValueError(f"rows were not read for {period.start} to {period.end}")
+
+
 def _midnight(moment: datetime) -> datetime:
     return moment.replace(hour=0, minute=0, second=0, microsecond=0)
