@@ -180,6 +180,7 @@ def test_empty_input(spark):
         ("a", "f", 0.0, 0.0), ("b", "f", 0.0, 0.0)
     ]
     assert len(report.kpi_display().collect()) == 7
+    assert [tuple(r) for r in report.multi_grain().collect()] == [(None, None, "total", *(0.0, 0.0), *[0] * 6)]
 
 
 def test_insights_wording(spark):
@@ -253,7 +254,11 @@ def test_combining(spark):
     assert (found.exp_today, found.exp_pct_diff) == (0, 0.0)
     alone = Report(fact(spark, *rows), replace(SPEC, brands=("a",)))
     assert alone.combined().collect() == alone.summary().collect()
-    assert alone.hourly_combined().collect() == alone.hourly().collect()
+    several = Report(fact(spark, *rows), replace(SPEC, brands=("a", "b"))).hourly_combined()
+    assert alone.hourly_combined().dtypes == several.dtypes
+    assert [tuple(r)[:3] for r in alone.hourly_combined().collect()] == [("f", 9, "a")]
+    with_totals = report.combined_with_totals().collect()
+    assert [(r.feature, r.notif_today, r.new_devices_today) for r in with_totals] == [("f", 3, 0)]
     with pytest.raises(ValueError):
         Report(fact(spark, *rows), SPEC).combined()
 

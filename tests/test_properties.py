@@ -14,7 +14,18 @@ from weekpulse.sources.events import event_feed
 
 FOLDER = f"{DATA}/sf0.01"
 SUMS = [f"{m}_{s}" for m in MAIN for s in SIDES]
-NOT_FROM_CUBE = {"wow_summary_foj", "hourly_cube_foj", "export_roundtrip", "hourly_rollup_stream"}
+NOT_FROM_CUBE = {
+    "wow_summary_foj",
+    "hourly_cube_foj",
+    "export_roundtrip",
+    "hourly_rollup_stream",
+    "wow_with_totals",
+    "wow_combined_with_totals",
+    "rejected_events",
+    "multi_grain_empty",
+    "wow_summary_by_day",
+    "wow_summary_from_rollup",
+}
 RESULTS = {
     "summary": Report.summary,
     "combined": Report.combined,
@@ -98,7 +109,7 @@ def test_one_scan_and_pushed_periods(spark, name):
     plan = ran(QUERIES[name](spark, FOLDER))
     spark.catalog.clearCache()
     assert scans(plan, "events.parquet") == 1
-    assert "PushedFilters: [Or(And(GreaterThanOrEqual(ts," in plan or name in ("wow_early_hours",)
+    assert "PushedFilters: [Or(And(GreaterThanOrEqual(ts," in plan or name in ("wow_early_hours", "grid_early")
     assert "PushedFilters: []" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
@@ -118,4 +129,11 @@ def test_join_form_scans_twice_and_joins_without_a_shuffle(report):
 
 def test_only_needed_columns_are_read(report):
     plan = planned(report.new_devices_totals())
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" in plan
+
+
+def test_totals_beside_rows_take_one_scan(spark):
+    report = Report(event_feed(spark, FOLDER, SPEC), SPEC).cache()
+    plan = ran(report.summary_with_totals())
+    assert "InMemoryTableScan" in plan and scans(plan, "events.parquet") <= 1
+    report.close()

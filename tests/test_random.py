@@ -11,7 +11,19 @@ import pytest
 
 from tests.comparing import assert_same
 from weekpulse import Report, oracle, queries
-from weekpulse.queries import BY_SOURCE, EARLY, HOURS_AHEAD, SELECTED, SPEC, ZONE
+from weekpulse.queries import (
+    BY_SOURCE,
+    CUT,
+    EARLY,
+    HOURS_AHEAD,
+    KNOWN_SUBSET,
+    LATE,
+    SELECTED,
+    SPEC,
+    SWING,
+    WITHOUT_ROWS,
+    ZONE,
+)
 from weekpulse.sources.fact import FACT_SCHEMA
 
 N_ROWS = 600
@@ -46,7 +58,17 @@ RESULTS = {
     "wow_with_totals": (Report.summary_with_totals, SPEC),
     "pct_rules": (Report.percent_rules, SPEC),
     "display_table": (Report.display, SPEC),
+    "wow_combined_with_totals": (Report.combined_with_totals, SPEC),
+    "hourly_series_cut": (Report.hourly_series, CUT),
+    "hourly_series_tz_wrap": (lambda r: r.hourly_series(ZONE), LATE),
+    "hourly_shifted_wrap": (lambda r: r.hourly_shifted(HOURS_AHEAD), LATE),
+    "grid_early": (Report.grid, EARLY),
+    "insights_swing": (Report.insights, SWING),
+    "wow_known_subset": (Report.summary, KNOWN_SUBSET),
+    "multi_grain_empty": (Report.multi_grain, WITHOUT_ROWS),
 }
+# Not on fact rows, or through files.
+OTHERS = {"export_roundtrip", "hourly_rollup_stream", "rejected_events", "wow_summary_by_day", "wow_summary_from_rollup"}
 
 
 def random_rows(seed: int) -> list[tuple]:
@@ -88,7 +110,7 @@ def both(spark, request, tmp_path_factory):
 
 
 def test_all_report_queries_are_covered():
-    assert set(RESULTS) == set(queries.QUERIES) - {"export_roundtrip", "hourly_rollup_stream"}
+    assert set(RESULTS) == set(queries.QUERIES) - OTHERS
 
 
 @pytest.mark.parametrize("name", sorted(RESULTS))

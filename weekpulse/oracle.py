@@ -6,7 +6,19 @@ together by a full outer join.
 
 from __future__ import annotations
 
-from weekpulse.queries import BY_SOURCE, EARLY, HOURS_AHEAD, SELECTED, SPEC, ZONE
+from weekpulse.queries import (
+    BY_SOURCE,
+    CUT,
+    EARLY,
+    HOURS_AHEAD,
+    KNOWN_SUBSET,
+    LATE,
+    SELECTED,
+    SPEC,
+    SWING,
+    WITHOUT_ROWS,
+    ZONE,
+)
 from weekpulse.spec import ReportSpec
 
 M4 = ("revenue", "notif", "exp", "install")
@@ -20,19 +32,27 @@ SOURCE_COLUMN = {
 }
 SIDES = ("today", "last_week")
 
-FACT = """
+# A number that is not whole or not of 32 bits is none, nor is an amount that its type cannot hold.
+EVENT = """
+event AS (
+  SELECT * EXCLUDE (n), CASE WHEN regexp_full_match(trim(n), '[+-]?[0-9]+') THEN TRY_CAST(trim(n) AS integer) END AS k,
+         TRY_CAST(value AS decimal(18,2)) AS amount
+  FROM (SELECT *, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS n FROM events)
+)"""
+REJECTED = "CASE WHEN k IS NULL THEN 'number' WHEN event_type = 'purchase' AND value IS NOT NULL AND amount IS NULL THEN 'amount' END"
+FACT = f"""{EVENT},
 fact AS (
   SELECT c.c_mktsegment AS brand,
          'feature_' || CAST(e.k % 7 AS varchar) AS feature,
          CASE e.k % 3 WHEN 0 THEN 'pre-install' WHEN 1 THEN 'FOTA' ELSE 'other' END AS source,
          CAST(date_trunc('hour', e.ts) AS timestamp) AS date_hour,
-         CAST(CASE WHEN e.event_type = 'purchase' THEN e.value ELSE 0 END AS decimal(18,2)) AS revenue,
+         CAST(CASE WHEN e.event_type = 'purchase' THEN e.amount ELSE 0 END AS decimal(18,2)) AS revenue,
          CAST(e.event_type = 'view' AS bigint) AS notification_shown,
          CAST(e.event_type = 'click' AS bigint) AS experience_shown,
          CAST(e.event_type = 'purchase' AS bigint) AS install_success,
          CAST(e.event_type = 'signup' AS bigint) AS new_devices
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS integer) AS k FROM events) e
-  JOIN customer c ON c.c_custkey = e.user_id
+  FROM event e JOIN customer c ON c.c_custkey = e.user_id
+  WHERE {REJECTED} IS NULL
 )"""
 
 
@@ -132,11 +152,11 @@ def _summary(spec: ReportSpec) -> str:
     return f"{_both(spec, BF)} SELECT brand, feature, {_compared(M4, _rounded)} FROM b"
 
 
-def _rolled(keys: list[str]) -> str:
+def _rolled(keys: list[str], spec: ReportSpec = SPEC) -> str:
     """CTEs up to `r`: the brand x feature sums added up to coarser keys."""
     group = f"GROUP BY {', '.join(keys)}" if keys else ""
     listed = "".join(f"{k}, " for k in keys)
-    return f"{_both(SPEC, BFH)}, r AS (SELECT {listed}{_added()} FROM b {group})"
+    return f"{_both(spec, BFH)}, r AS (SELECT {listed}{_added()} FROM b {group})"
 
 
 COMBINED = f"'Combined ({len(SPEC.selected_brands)} brands)' AS brand"
@@ -223,7 +243,7 @@ def _kpi_display() -> str:
     return f"{_kpis()} {rows}"
 
 
-def _series(cut: str) -> str:
+def _series(cut: str, spec: ReportSpec = SPEC) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, '{label}' AS series, hour_of_day,"
         f" CAST({m}_{s} AS double) AS value FROM r WHERE {m}_{s} > 0"
@@ -231,11 +251,11 @@ def _series(cut: str) -> str:
         for m in M5
         for s, label in (("today", "Today"), ("last_week", "Last Week"))
     )
-    return f"{_rolled(['hour_of_day'])} {rows}"
+    return f"{_rolled(['hour_of_day'], spec)} {rows}"
 
 
-def _zone_hour() -> str:
-    local = f"TIMESTAMP '{SPEC.as_of}' AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}'"
+def _zone_hour(spec: ReportSpec = SPEC) -> str:
+    local = f"TIMESTAMP '{spec.as_of}' AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}'"
     return f"extract(hour FROM {local})"
 
 
@@ -243,9 +263,9 @@ PEAK = "SELECT hour_of_day, {value} FROM h ORDER BY notif_today DESC, hour_of_da
 TOP = "SELECT feature, {value} FROM f ORDER BY revenue_today DESC, feature LIMIT 1"
 
 
-def _insights() -> str:
+def _insights(spec: ReportSpec = SPEC) -> str:
     signed = "CASE WHEN {c} > 0 THEN '+' ELSE '' END || format('{{:.1f}}%', {c})"
-    return f"""{_rolled(["feature", "hour_of_day"])},
+    return f"""{_rolled(["feature", "hour_of_day"], spec)},
 t AS (SELECT {_added(["revenue", "new_devices"])} FROM r),
 c AS (SELECT *, {_positive("revenue")} AS rc, {_positive("new_devices")} AS nc FROM t),
 h AS (SELECT hour_of_day, sum(notif_today) AS notif_today FROM r GROUP BY 1),
@@ -274,7 +294,7 @@ SELECT 4, 'top_feature', CAST(revenue_today AS double), NULL,
 FROM q"""
 
 
-def _multi_grain() -> str:
+def _multi_grain(spec: ReportSpec = SPEC) -> str:
     grains = [
         ("brand, feature", "brand_feature", BF),
         ("brand, NULL AS feature", "brand", ["brand"]),
@@ -287,19 +307,19 @@ def _multi_grain() -> str:
         f" {'GROUP BY ' + ', '.join(by) if by else ''})"
         for keys, grain, by in grains
     )
-    return f"{_both(SPEC, BF)} {rows}"
+    return f"{_both(spec, BF)} {rows}"
 
 
-def _grid() -> str:
+def _grid(spec: ReportSpec = SPEC) -> str:
     def values(of: tuple[str, ...], name: str) -> str:
         return f"(SELECT unnest([{_text_list(of)}]) AS {name})"
 
     sums = ", ".join(f"coalesce({m}_{s}, 0) AS {m}_{s}" for m in M5 for s in SIDES)
-    return f"""{_both(SPEC, BF)},
+    return f"""{_both(spec, BF)},
 g AS (
   SELECT brand, feature, {sums}
-  FROM (SELECT * FROM {values(SPEC.selected_brands, "brand")},
-                      {values(SPEC.selected_features, "feature")}) cells
+  FROM (SELECT * FROM {values(spec.selected_brands, "brand")},
+                      {values(spec.selected_features, "feature")}) cells
   LEFT JOIN b USING (brand, feature)
 )
 SELECT brand, feature, {_compared(M5, _ratio)} FROM g"""
@@ -312,6 +332,19 @@ SELECT b.brand, b.feature, {_compared(M4, _rounded)}, n.* FROM
   (SELECT * EXCLUDE (new_devices_today, new_devices_last_week) FROM b) b, n"""
 
 
+def _combined_with_totals() -> str:
+    return f"""{_both(SPEC, BF)}, r AS (SELECT feature, {_added()} FROM b GROUP BY feature),
+d AS (SELECT {_added(["new_devices"])} FROM b),
+n AS (SELECT {_compared(["new_devices"], _positive)} FROM d)
+SELECT feature, {COMBINED}, {_compared(M4, _zero_filled)}, n.* FROM
+  (SELECT * EXCLUDE (new_devices_today, new_devices_last_week) FROM r) r, n"""
+
+
+def _shifted(spec: ReportSpec = SPEC) -> str:
+    return f"""{_rolled(["hour_of_day"], spec)}
+SELECT CAST((hour_of_day + {HOURS_AHEAD}) % 24 AS integer) AS hour_shifted, {_sides(["revenue"])} FROM r"""
+
+
 def _pct_rules() -> str:
     m = "revenue"
     return f"""{_both(SPEC, BF)}
@@ -361,8 +394,7 @@ ORACLE: dict[str, str] = {
     "by_feature_long": _long("feature"),
     "hourly_series": _series(str(SPEC.today_cut_hour)),
     "hourly_series_tz": _series(_zone_hour()),
-    "hourly_shifted": f"{_rolled(['hour_of_day'])} SELECT"
-    f" CAST((hour_of_day + {HOURS_AHEAD}) % 24 AS integer) AS hour_shifted, {_sides(['revenue'])} FROM r",
+    "hourly_shifted": _shifted(),
     "peak_hour": f"{_rolled(['hour_of_day'])}, h AS (SELECT * FROM r) "
     + PEAK.format(value="CAST(notif_today AS bigint) AS notif_today"),
     "top_feature": f"{_rolled(['feature'])}, f AS (SELECT * FROM r) "
@@ -379,4 +411,15 @@ ORACLE: dict[str, str] = {
     "display_table": _display(),
     "export_roundtrip": _summary(SPEC),
     "hourly_rollup_stream": _rollup(),
+    "wow_combined_with_totals": _combined_with_totals(),
+    "hourly_series_cut": _series(str(CUT.cut_hour), CUT),
+    "hourly_series_tz_wrap": _series(_zone_hour(LATE), LATE),
+    "hourly_shifted_wrap": _shifted(LATE),
+    "grid_early": _grid(EARLY),
+    "insights_swing": _insights(SWING),
+    "wow_known_subset": _summary(KNOWN_SUBSET),
+    "multi_grain_empty": _multi_grain(WITHOUT_ROWS),
+    "rejected_events": f"WITH {EVENT} SELECT coalesce({REJECTED}, 'counted') AS outcome, count(*) AS n FROM event GROUP BY 1",
+    "wow_summary_by_day": _summary(SPEC),
+    "wow_summary_from_rollup": _summary(SPEC),
 }

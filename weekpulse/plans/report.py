@@ -13,7 +13,7 @@ from weekpulse.operators.measures import ALL, MAIN, both_sides, compared
 from weekpulse.operators.outer_join import joined_period_sums
 from weekpulse.operators.period_sums import CUBE_KEYS, add_up, add_up_sets, period_sums
 from weekpulse.plans import hourly, insights, totals
-from weekpulse.spec import ReportSpec
+from weekpulse.spec import ReportSpec, check_read_for
 
 GRAINS = {
     0: "brand_feature",
@@ -31,6 +31,7 @@ class Report:
     """
 
     def __init__(self, fact: DataFrame, spec: ReportSpec) -> None:
+        check_read_for(fact, spec)
         self.fact = fact
         self.spec = spec
         self._cube: DataFrame | None = None
@@ -92,10 +93,15 @@ class Report:
     def multi_grain(self) -> DataFrame:
         """The same sums by brand and feature, by brand, by feature and in total.
 
-        One aggregation over the finest sums; no rows at all give no total either.
+        One aggregation over the finest sums. A row of zeros goes in with them, so that there is a
+        total without any rows, too; the groups that have nothing but this row are left out.
         """
         keys = ("brand", "feature")
-        sums = add_up_sets(self.sums(*keys), [keys, ("brand",), ("feature",), ()], keys)
+        sums = self.sums(*keys)
+        zero = [F.lit(0 if f.name not in keys else None).cast(f.dataType).alias(f.name) for f in sums.schema]
+        seed = sums.sparkSession.range(1).select(*zero)
+        sums = add_up_sets(sums.union(seed), [keys, ("brand",), ("feature",), ()], keys)
+        sums = sums.filter((F.col("grain_id") == 3) | (F.col("rows_today") + F.col("rows_last_week") > 0))
         names = F.create_map(*[F.lit(x) for grain in GRAINS.items() for x in grain])
         return sums.select(
             "brand", "feature", names[F.col("grain_id")].alias("grain"), *both_sides(MAIN)
@@ -134,13 +140,10 @@ class Report:
 
     def summary_with_totals(self) -> DataFrame:
         """The summary with the new-device scalars of the whole report on each row."""
-        scalars = self.new_devices_totals().select(F.struct("*")).scalar()
-        return (
-            self._compare(self.sums("brand", "feature"))
-            .withColumn("totals", scalars)
-            .select("*", "totals.*")
-            .drop("totals")
-        )
+        return self._with_totals(self._compare(self.sums("brand", "feature")))
+
+    def combined_with_totals(self) -> DataFrame:
+        return self._with_totals(self.combined())
 
     def data_summary(self) -> DataFrame:
         return self.sums("brand", "feature").agg(
@@ -166,8 +169,9 @@ class Report:
         return sums.select(*CUBE_KEYS, *both_sides(ALL)).orderBy("hour_of_day")
 
     def hourly_combined(self) -> DataFrame:
+        """The same columns for one brand, which keeps its name, and for several."""
         if not self._combines():
-            return self.hourly()
+            return self.sums(*CUBE_KEYS).select("feature", "hour_of_day", "brand", *both_sides(MAIN))
         return self.sums("feature", "hour_of_day").select(
             "feature", "hour_of_day", self._combined_label(), *both_sides(MAIN)
         )
@@ -196,6 +200,10 @@ class Report:
     def _compare(self, sums: DataFrame) -> DataFrame:
         return sums.select("brand", "feature", *compared(MAIN, percent.rounded))
 
+    def _with_totals(self, rows: DataFrame) -> DataFrame:
+        scalars = self.new_devices_totals().select(F.struct("*")).scalar()
+        return rows.withColumn("totals", scalars).select("*", "totals.*").drop("totals")
+
     def _combines(self) -> bool:
         if not self.spec.selected_brands:
             raise ValueError("combining needs the brands to be listed")

@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 
 from weekpulse.operators.measures import FACT_COLUMN
 from weekpulse.plans.report import Report
-from weekpulse.sources.events import EVENTS, event_feed, events_to_fact, read_customers
+from weekpulse.sources.events import (
+    EVENTS,
+    event_feed,
+    events_to_fact,
+    read_customers,
+    read_events,
+    rejected_events,
+)
 from weekpulse.sources.export import export, read_export
+from weekpulse.sources.fact import DAY, read_fact, write_fact
 from weekpulse.sources.shared import new_folder
 from weekpulse.spec import ReportSpec
-from weekpulse.streaming.rollup import hour_totals, read_rollup, start_rollup
+from weekpulse.streaming.rollup import compact_rollup, hour_totals, read_rollup, start_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +35,12 @@ SPEC = ReportSpec(
 EARLY = replace(SPEC, as_of=datetime(2024, 1, 15, 1, 30))
 SELECTED = replace(SPEC, brands=("BUILDING", "MACHINERY"), features=("feature_1", "feature_3"))
 BY_SOURCE = replace(SPEC, source="FOTA")
+# Inside the data's hours; after which the zone's hour is 0; with revenue far from last week's.
+CUT = replace(SPEC, cut_hour=9)
+LATE = replace(SPEC, as_of=datetime(2024, 1, 15, 22, 30))
+SWING = replace(SPEC, as_of=datetime(2024, 1, 15, 8, 30))
+KNOWN_SUBSET = replace(SPEC, known_brands=SPEC.known_brands[:3], known_features=SPEC.known_features[2:5])
+WITHOUT_ROWS = replace(SPEC, as_of=datetime(2025, 6, 1, 12))
 ZONE = "Asia/Jerusalem"
 HOURS_AHEAD = 3
 
@@ -37,15 +51,37 @@ def on_report(result: Callable[[Report], DataFrame], spec: ReportSpec = SPEC) ->
 
 def export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     summary = Report(event_feed(spark, folder, SPEC), SPEC).summary()
-    path = export(summary, new_folder(spark, "export"), SPEC.as_of)
+    path = export(summary, new_folder(spark, "export"), SPEC.as_of, "summary")
     return read_export(spark, path, summary.schema)
 
 
-def hourly_rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """All events streamed into a rollup table, and the table's hourly sums."""
-    # A glob, since the stream source takes a plain path to be a folder.
-    events = spark.readStream.schema(EVENTS).parquet(f"{folder}/{{events}}.parquet")
-    place = new_folder(spark, "rollup")
+def with_totals(result: Callable[[Report], DataFrame]) -> Query:
+    """Rows and scalars need different sums; from the cached cube both come out of one scan.
+
+    The result, a row for each key, is written, so that the cube need not be kept for its readers.
+    """
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        report = Report(event_feed(spark, folder, SPEC), SPEC).cache()
+        try:
+            rows = result(report)
+            path = new_folder(spark, "totals")
+            rows.write.parquet(path)
+        finally:
+            report.close()
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return query
+
+
+def wow_summary_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as a fact table by day, of which the report reads two days."""
+    path = new_folder(spark, "fact")
+    write_fact(event_feed(spark, folder), path)
+    return Report(read_fact(spark, path=path, spec=SPEC, day_column=DAY), SPEC).summary()
+
+
+def streamed(spark: SparkSession, events: DataFrame, folder: str, place: str) -> None:
     start_rollup(
         events,
         table=f"{place}/table",
@@ -54,12 +90,31 @@ def hourly_rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
         to_fact=lambda batch: events_to_fact(batch, read_customers(spark, folder)),
         once=True,
     ).awaitTermination()
+
+
+def hourly_rollup_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """All events streamed into a rollup table, and the table's hourly sums."""
+    # A glob, since the stream source takes a plain path to be a folder.
+    events = spark.readStream.schema(EVENTS).parquet(f"{folder}/{{events}}.parquet")
+    place = new_folder(spark, "rollup")
+    streamed(spark, events, folder, place)
     totals = hour_totals(read_rollup(spark, f"{place}/table"), ("brand", "feature", "date_hour"))
     return totals.withColumn("revenue", F.col("revenue").cast("double")).select(
         "brand", "feature", "date_hour", *FACT_COLUMN.values()
     )
 
 
+def wow_summary_from_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """The report on a rollup of several micro-batches, the older ones compacted."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    by_day = F.dayofmonth("ts") % 4
+    read_events(spark, folder).repartition(4, by_day).write.parquet(inbox)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    streamed(spark, events, folder, place)
+    compact_rollup(spark, f"{place}/table")
+    return Report(read_rollup(spark, f"{place}/table", SPEC), SPEC).summary()
+
+
 QUERIES: dict[str, Query] = {
     "wow_summary": on_report(Report.summary),
     "wow_summary_foj": on_report(Report.summary_by_join),
@@ -88,10 +143,21 @@ QUERIES: dict[str, Query] = {
     "dimension_values": on_report(Report.dimension_values),
     "multi_grain": on_report(Report.multi_grain),
     "grid_wow": on_report(Report.grid),
-    # Rows and scalars need different sums; from the cached cube both come out of one scan.
-    "wow_with_totals": on_report(lambda report: report.cache().summary_with_totals()),
+    "wow_with_totals": with_totals(Report.summary_with_totals),
+    "wow_combined_with_totals": with_totals(Report.combined_with_totals),
     "pct_rules": on_report(Report.percent_rules),
     "display_table": on_report(Report.display),
     "export_roundtrip": export_roundtrip,
     "hourly_rollup_stream": hourly_rollup_stream,
+    # Where each operator changes something.
+    "hourly_series_cut": on_report(Report.hourly_series, CUT),
+    "hourly_series_tz_wrap": on_report(lambda report: report.hourly_series(zone=ZONE), LATE),
+    "hourly_shifted_wrap": on_report(lambda report: report.hourly_shifted(HOURS_AHEAD), LATE),
+    "grid_early": on_report(Report.grid, EARLY),
+    "insights_swing": on_report(Report.insights, SWING),
+    "wow_known_subset": on_report(Report.summary, KNOWN_SUBSET),
+    "multi_grain_empty": on_report(Report.multi_grain, WITHOUT_ROWS),
+    "rejected_events": lambda spark, folder: rejected_events(read_events(spark, folder)),
+    "wow_summary_by_day": wow_summary_by_day,
+    "wow_summary_from_rollup": wow_summary_from_rollup,
 }
