@@ -26,17 +26,23 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage that adds columns, which go again; columns of these names that were there stay."""
+    own = {c: f"aside {c}" for c in docs.columns if c.lower() in names}
+    out = stage(docs.withColumnsRenamed(own)).drop(*names)
+    return out.withColumnsRenamed({aside: c for c, aside in own.items()})
+
+
 def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a language that is told with enough certainty, from a model of this input."""
     model = language_id.train(docs, crc_of_id("doc_id") % 3 != 1)
-    found = language_id.identified(docs, model)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).drop("lang_pred", "score")
+    return beside(docs, ("lang_pred", "score"), lambda rows: language_id.identified(rows, model).where(sure))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that other documents have, too, stay in the first one only; every document stays."""
-    return with_length(line_dedup.line_dedup(docs)).drop("n_lines", "n_dropped")
+    return with_length(beside(docs, ("n_lines", "n_dropped"), line_dedup.line_dedup))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
