@@ -128,7 +128,7 @@ def parts(text: str, vocabulary: Vocabulary) -> Iterator[list[str] | int]:
 class Memo(dict):
     """What was worked out for short pieces, emptied when it holds ``most`` of them."""
 
-    def __init__(self, work, most: int = 400_000, longest: int = 40):
+    def __init__(self, work, most: int = 150_000, longest: int = 40):
         self.work, self.most, self.longest = work, most, longest
 
     def __missing__(self, piece: str):

@@ -5,16 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpulse.sources.shared import new_folder
 
+# Rows of an Arrow batch. Texts are long, and a task holds a few batches in either process.
+BATCH_ROWS = 2_000
 SPACE = r"\x20\x09-\x0D"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For the session: Spark has no setting for a single plan."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -52,6 +59,3 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(spark, purpose)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-SPILLABLE = StorageLevel.DISK_ONLY
