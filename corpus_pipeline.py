@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup
-from weekpulse.llm.tables import crc_of_id, read_table, written
+from weekpulse.llm.tables import crc_of_id, read_table, small_batches, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,6 +35,7 @@ def beside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame],
 
 def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a language that is told with enough certainty, from a model of this input."""
+    small_batches(spark)
     model = language_id.train(docs, crc_of_id("doc_id") % 3 != 1)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     return beside(docs, ("lang_pred", "score"), lambda rows: language_id.identified(rows, model).where(sure))
@@ -42,10 +43,12 @@ def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that other documents have, too, stay in the first one only; every document stays."""
+    small_batches(spark)
     return with_length(beside(docs, ("n_lines", "n_dropped"), line_dedup.line_dedup))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    small_batches(spark)
     return near_dup.without_near_duplicates(docs)
 
 
@@ -54,6 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    small_batches(spark)
     return bpe_codec.bpe_codec(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
