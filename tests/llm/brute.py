@@ -55,6 +55,51 @@ def lm_base(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
     }
 
 
+def lm_mixture(rows: list[tuple[int, str | None]], rounds: int = 100) -> dict[int, float]:
+    tokens = {i: [*words(lower(t or "")), None] for i, t in rows}
+    fold = {i: crc(i) % 7 for i in tokens}
+
+    def counted(ids):
+        single, pairs = Counter(), Counter()
+        for i in ids:
+            single.update(tokens[i])
+            pairs.update(zip(["<s>", *tokens[i]], tokens[i]))
+        return single, pairs, sum(single.values()), len(single)
+
+    def estimates(i, single, pairs, n, v):
+        for before, w in zip(["<s>", *tokens[i]], tokens[i]):
+            context = single[None] if before == "<s>" else single[before]
+            bigram = pairs[before, w] / context if context else 0.0
+            yield min(context.bit_length(), 23), (bigram, single[w] / n, (single[w] + 1) / (n + v + 1))
+
+    kept = counted(i for i in tokens if fold[i] not in (2, 3))
+    events = defaultdict(list)
+    for i in tokens:
+        if fold[i] == 3:
+            for bucket, found in estimates(i, *kept):
+                events[bucket].append(found)
+    weights = {}
+    for bucket in range(24):
+        usable = [bucket > 0, True, True]
+        weight = [u / sum(usable) for u in usable]
+        if not events[bucket]:
+            weights[bucket] = weights[bucket - 1] if bucket > 1 else [0.0, 0.0, 1.0]
+            continue
+        for _ in range(rounds):
+            share = [0.5, 0.5, 0.5]
+            for found in events[bucket]:
+                parts = [a * b for a, b in zip(weight, found)]
+                share = [s + x / sum(parts) for s, x in zip(share, parts)]
+            share = [s * u for s, u in zip(share, usable)]
+            weight = [s / sum(share) for s in share]
+        weights[bucket] = weight
+    every = counted(i for i in tokens if fold[i] != 2)
+    return {
+        i: sum(log10(sum(a * b for a, b in zip(weights[bucket], found))) for bucket, found in estimates(i, *every))
+        for i in tokens
+    }
+
+
 def shared_lines(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     key = lambda line: lower(line.strip(SPACE))
     holders = defaultdict(set)
