@@ -173,15 +173,28 @@ def pairs_across(left: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket across components that can be similar enough, but for large main components.
 
     One of a pair is outside the bucket's main component, so that this need not meet itself. Shingles
-    that only one candidate has are in no intersection, but in every union with it.
+    that only one candidate has are in no intersection, but in every union with it. A pair that meets in
+    several buckets is made in the first of them: the least key that both bring.
     """
-    right = left.where(f"component != main OR n_main <= {FEW}").toDF(*(f"{c}_b" for c in left.columns))
+    own = ("id", "n", "symbols", "component", "alone")
+    classes = left.groupBy(*own).agg(F.collect_list(F.struct("key", "main", "n_main")).alias("places"))
+
+    def side(condition: str) -> DataFrame:
+        rows = classes.withColumn("places", F.expr(f"filter(places, p -> {condition})"))
+        return rows.select(*own, F.col("places.key").alias("keys"), F.explode("places").alias("place")).select(
+            *own, "keys", "place.key", "place.main"
+        )
+
+    asking = side("component != p.main")
+    right = side(f"component != p.main OR p.n_main <= {FEW}")
+    right = right.toDF(*(f"{c}_b" for c in right.columns))
     most, least = "least(n - alone, n_b - alone_b)", "greatest(n + alone_b, n_b + alone)"
+    # Where the first key is one at which id_b asks itself, the pair is made there, from id_b's side.
     return (
-        left.where("component != main")
-        .join(right, F.col("key") == F.col("key_b"))
+        asking.join(right, F.col("key") == F.col("key_b"))
         .where("component != component_b AND (component_b = main OR id < id_b)")
         .where(f"100 * {most} >= {percent} * {least}")
+        .where(F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key"))
         .where(differing("symbols", "symbols_b") <= MOST_DIFFER)
         .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
         .distinct()
