@@ -361,6 +361,38 @@ def test_pseudonyms():
         assert pii.pseudonymised(invalid, key) == (invalid, [])
 
 
+@pytest.mark.parametrize(
+    "value, behind, kinds",
+    [
+        ("+1 217 555 7713", " 2024-01-15", ["date", "phone"]),
+        ("+1 217 555 7713", " 2024", ["phone"]),
+        ("+44 20 7946 0958", " 1234 5678", ["phone"]),
+        ("+49 30 9018 2044", " 2024-01-15", ["date", "phone"]),
+        ("+49 30 9018 20", " 123-45-6789", ["phone", "ssn"]),
+        ("+49 30 9018 20", " 12@example.org", ["email", "phone"]),
+        ("BE68 5390 0754 7034", " EUR", ["iban"]),
+        ("AT61 1904 3002 3457 3201", " BIC", ["iban"]),
+        ("NL91 ABNA 0417 1643 00", " IBAN 4111 1111 1111 1111", ["card", "iban"]),
+    ],
+)
+def test_values_run_into_the_next_token(value, behind, kinds):
+    alone, _ = pii.pseudonymised(value, b"key")
+    new, found = pii.pseudonymised(f"see {value}{behind}", b"key")
+    assert sorted(found) == kinds and new.startswith(f"see {alone}") and value not in new
+    assert new[len(f"see {alone}") :] == pii.pseudonymised(behind, b"key")[0]
+
+
+def test_search_goes_on_inside_invalid_candidates():
+    for before in ("1234 ", "+99 12 ", "AB12 ", "AB"):
+        value = "4111 1111 1111 1111" if before != "AB" else "4111111111111111"
+        new, kinds = pii.pseudonymised(f"{before}{value}", b"key")
+        assert kinds[-1:] == ["card"] and new.endswith(pii.pseudonymised(value, b"key")[0])
+    assert pii.pseudonymised("+45 12.34.56.78", b"key")[1] == ["phone"]
+    # Time stays linear on candidates that all fail.
+    text = "+1 21 55 " * 20_000
+    assert pii.pseudonymised(text, b"key") == (text, [])
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     found = [pii.permuted(x, size, b"k", "t") for x in range(size)]

@@ -1,8 +1,12 @@
 """Pseudonyms for personal numbers and dates that keep their format.
 
 Card numbers (Luhn), IBANs (mod 97), US social security numbers, phone numbers, IPv4 addresses, dates
-and the local parts of e-mail addresses are found by pattern and validated; what fails validation stays
-as it is. A valid value is taken as a number within the domain of its format (digits of that
+and the local parts of e-mail addresses are found by pattern and validated. A candidate that runs into the
+text behind it is cut at the ends of its parts (an IBAN to its country's length; a phone number before
+another valid value, to its country's number of digits, or else to as many as are valid); where none is
+valid the search goes on at the candidate's next character, and only what is in no valid value stays as it
+is. The number of digits is known for the countries of ``PHONE_DIGITS`` only: elsewhere digits that follow
+a phone number after one separator may be taken for its end. A valid value is taken as a number within the domain of its format (digits of that
 length, days of two centuries, ...), permuted there by a keyed Feistel network (the walk goes on while it
 is outside the domain or not valid), and written back in its own layout. The permutation depends on the
 key, the kind and the number of characters only: equal values get equal pseudonyms in all documents,
@@ -43,6 +47,26 @@ FOUND = re.compile(
     r"|(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9]|[/.-][0-9]))"
 )
 
+# Characters of an IBAN, by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO EG GT HN HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+# Digits of a phone number with its country's code, where there are one or two counts.
+PHONE_DIGITS = {
+    "1": (11,), "7": (11,), "27": (11,), "30": (12,), "31": (11,), "32": (10, 11), "33": (11,), "34": (11,),
+    "40": (11,), "41": (11,), "44": (11, 12), "45": (10,), "47": (10,), "48": (11,), "52": (12,), "61": (11,),
+    "63": (12,), "65": (10,), "90": (12,), "91": (12,), "351": (12,), "380": (12,), "420": (12,), "421": (12,),
+}
+FEWEST, MOST = 8, 15
+
 
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0..size-1: a Feistel network on two digits of about the root of size."""
@@ -97,7 +121,7 @@ def phone(text: str, key: bytes) -> str | None:
     # The country's code stays: one digit for +1 and +7, else two.
     kept = (1 if digits[0] in "17" else 2) if text[0] == "+" else 0
     own = digits[kept:]
-    if not 8 <= len(digits) <= 15:
+    if not FEWEST <= len(digits) <= MOST:
         return None
     new = permuted(int(own), 10 ** len(own), key, f"phone{digits[:kept] or '1'}")
     return laid_out(digits[:kept] + str(new).zfill(len(own)), text)
@@ -189,22 +213,68 @@ KINDS: dict[str, Callable[[str, bytes], str | None]] = {
 }
 
 
+def borders(found: re.Match, marks: str) -> list[int]:
+    """Where the candidate's parts end, the longest first."""
+    text, start, end = found.string, *found.span()
+    return [end, *(at for at in range(end - 1, start, -1) if text[at] in marks and text[at - 1].isalnum())]
+
+
+def iban_ends(found: re.Match) -> list[int]:
+    text, start = found.string, found.start()
+    ends = borders(found, " ")
+    known = IBAN_LENGTH.get(text[start : start + 2])
+    if known is None:
+        return ends
+    return [end for end in ends if len(text[start:end].replace(" ", "")) == known] + ends[:1]
+
+
+def phone_ends(found: re.Match, key: bytes) -> list[int]:
+    text, start = found.string, found.start()
+    ends = borders(found, " .-")
+    if text[start] != "+":
+        return ends
+    n_digits = {end: len(digits_of(text[start:end])) for end in ends}
+    digits = digits_of(found[0])
+    known = next((PHONE_DIGITS[digits[:n]] for n in (1, 2, 3) if digits[:n] in PHONE_DIGITS), ())
+    valid = [end for end in ends if FEWEST <= n_digits[end] <= MOST]
+    # One in ten runs of groups has a card's check digit, so that it yields to a known number of digits.
+    passed = {"phone", "card"} if any(n_digits[end] in known for end in ends) else {"phone"}
+    # The number ends before another value, as a date, or with all of it when too short without.
+    for at in reversed(ends[1:]):
+        if (other := FOUND.match(text, at + 1)) and other.lastgroup not in passed:
+            if KINDS[other.lastgroup](other[0], key) is not None:
+                whole = n_digits[at] < FEWEST
+                valid = [end for end in valid if end <= at or whole and end >= other.end()]
+                break
+    return [end for end in valid if n_digits[end] in known] + valid
+
+
+def valid_value(found: re.Match, key: bytes) -> tuple[int, str] | None:
+    """Where the candidate's value ends, and its pseudonym."""
+    kind = found.lastgroup
+    ends = phone_ends(found, key) if kind == "phone" else iban_ends(found) if kind == "iban" else [found.end()]
+    for end in ends:
+        new = KINDS[kind](found.string[found.start() : end], key)
+        if new is not None:
+            return end, new
+    return None
+
+
 def pseudonymised(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with its pseudonyms, and the kind of each value replaced."""
     kinds: list[str] = []
-
-    def replaced(found: re.Match) -> str:
-        for kind, pseudonym in KINDS.items():
-            value = found[kind]
-            if value is not None:
-                new = pseudonym(value, key)
-                if new is None:
-                    return value
-                kinds.append(kind)
-                return new
-        return found[0]
-
-    return FOUND.sub(replaced, text), kinds
+    parts: list[str] = []
+    done = at = 0
+    while found := FOUND.search(text, at):
+        value = valid_value(found, key)
+        if value is None:
+            at = found.start() + 1
+            continue
+        end, new = value
+        parts += (text[done : found.start()], new)
+        kinds.append(found.lastgroup)
+        done = at = end
+    return "".join((*parts, text[done:])), kinds
 
 
 HAS_DIGIT_OR_AT = re.compile(r"[0-9@]")
