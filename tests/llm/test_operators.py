@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -267,6 +268,36 @@ def test_benchmark_hits_of_random_words(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_each_block_is_built_once_for_a_batch(spark, monkeypatch):
+    """However many texts there are, and whether they are only looked at or cut."""
+    built = []
+
+    class Counted(decontamination.Automaton):
+        def __init__(self, items, window):
+            built.append(1)
+            super().__init__(items, window)
+
+    monkeypatch.setattr(decontamination, "Automaton", Counted)
+    run = lambda k: " ".join(f"item{k}word{j}" for j in range(10))
+    blocks = [((str(k), run(k).encode()),) for k in range(5)]
+    clean = " ".join(f"clean{j}" for j in range(20))
+    texts = [f"{clean} {run(k % 5)} end" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    batch = pa.table({"doc_id": list(range(40)), "text": texts}).to_batches()[0]
+    monkeypatch.setattr(decontamination, "blocks_of", lambda *_: blocks)
+    monkeypatch.setattr(decontamination, "by_batch", lambda rows, to_batch, schema: to_batch(batch))
+    decontamination.automaton.cache_clear()
+    found = decontamination.benchmark_hits(docs, docs, item_id="doc_id")
+    assert found.column(3).to_pylist() == [[str(k % 5)] for k in range(40)] and len(built) == 5
+    built.clear()
+    decontamination.automaton.cache_clear()
+    monkeypatch.undo()
+    monkeypatch.setattr(decontamination, "Automaton", Counted)
+    assert decontamination.cleaned([*texts, None, run(0)], blocks, 10, 0.5) == [f"{clean}  end"] * 40 + ["", None]
+    assert len(built) == 10  # once more to see that nothing is left
+    decontamination.automaton.cache_clear()
+
+
 def test_decontamination_odd(odd, empty, spark):
     items = spark.createDataFrame([(1, "enough words to be shingled")], "item_id long, text string")
     found = decontamination.decontaminated(odd, items)

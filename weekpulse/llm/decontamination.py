@@ -4,7 +4,8 @@ The automaton has every run of words of every item. A document's words are strea
 each word the state gives the longest run ending there that some item has. A run of ``window`` words
 or more is hit as a whole, and so is a whole item of fewer words. Items come to the driver as text, up to
 ``MOST_BYTES`` (a benchmark larger than that is refused), and are broadcast in blocks of ``BLOCK_BYTES``;
-each block has its own automaton, built once in each Python worker, so that memory stays bounded.
+each block has its own automaton, so that memory stays bounded. A Python worker keeps two of them; with
+more blocks each is built once for every Arrow batch and all texts of the batch are streamed through it.
 A text longer than ``STRETCH`` is read in parts, the state going on from one to the next.
 
 Words are runs of digits, a-z (A-Z lower-cased) and characters outside ASCII. NULL and empty texts have
@@ -187,13 +188,18 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def all_hits(text: bytes, blocks: list[tuple], window: int) -> tuple[int, list[tuple[int, int]], set[str]]:
-    found = [automaton(block, window).hits(text) for block in blocks]
-    return (
-        found[0][0],
-        merged_spans([span for _, spans, _ in found for span in spans]),
-        set().union(*(items for _, _, items in found)),
-    )
+def all_hits(texts: list[bytes], blocks: list[tuple], window: int) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text its words, the runs hit and the items; block by block, each automaton built once for all texts."""
+    n_words = [0] * len(texts)
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    for block in blocks:
+        own = automaton(block, window)
+        for k, text in enumerate(texts):
+            n_words[k], found, names = own.hits(text)
+            spans[k] += found
+            items[k] |= names
+    return [(n, merged_spans(found), names) for n, found, names in zip(n_words, spans, items)]
 
 
 def benchmark_hits(
@@ -204,7 +210,7 @@ def benchmark_hits(
     blocks = docs.sparkSession.sparkContext.broadcast(blocks_of(items, window, item_id, item_text))
 
     def to_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [all_hits(x.as_py().encode().lower(), blocks.value, window) for x in batch.column(1)]
+        rows = all_hits([x.as_py().encode().lower() for x in batch.column(1)], blocks.value, window)
         spans = [[{"first": a, "last": b} for a, b in found] for _, found, _ in rows]
         return pa.RecordBatch.from_arrays(
             [
@@ -220,29 +226,37 @@ def benchmark_hits(
     return by_batch(rows, to_batch, HITS)
 
 
-def cleaned(text: str | None, blocks: list[tuple], window: int, most_share: float) -> str | None:
-    """The text without the runs hit, or None if more than ``most_share`` of its words are hit."""
-    data = (text or "").encode()
-    hit = None
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the runs of words and what stands between their words."""
+    out, done, at, places = [], 0, 0, iter(WORD.finditer(data.lower()))
+    for first, last in spans:
+        for _ in range(first - at):
+            next(places)
+        start = end = next(places)
+        for _ in range(last - first):
+            end = next(places)
+        at = last + 1
+        out.append(data[done : start.start()])
+        done = end.end()
+    return b"".join([*out, data[done:]])
+
+
+def cleaned(texts: list[str | None], blocks: list[tuple], window: int, most_share: float) -> list[str | None]:
+    """The texts without the runs hit; None for those with more than ``most_share`` of their words hit."""
+    data: list[bytes | None] = [(text or "").encode() for text in texts]
+    left, first_round = list(range(len(data))), True
     # Words that come together when a run is cut out may form a new one.
-    while True:
-        n, spans, _ = all_hits(data.lower(), blocks, window)
-        hit = hit or (n, sum(b - a + 1 for a, b in spans))
-        if hit[1] > most_share * hit[0]:
-            return None
-        if not spans:
-            return data.decode()
-        out, done, at, places = [], 0, 0, iter(WORD.finditer(data.lower()))
-        for first, last in spans:
-            for _ in range(first - at):
-                next(places)
-            start = end = next(places)
-            for _ in range(last - first):
-                end = next(places)
-            at = last + 1
-            out.append(data[done : start.start()])
-            done = end.end()
-        data = b"".join([*out, data[done:]])
+    while left:
+        found = all_hits([data[k].lower() for k in left], blocks, window)
+        again = []
+        for k, (n, spans, _) in zip(left, found):
+            if first_round and sum(b - a + 1 for a, b in spans) > most_share * n:
+                data[k] = None
+            elif spans:
+                data[k] = without(data[k], spans)
+                again.append(k)
+        left, first_round = again, False
+    return [text if text is None else text.decode() for text in data]
 
 
 def decontaminated(
@@ -256,7 +270,7 @@ def decontaminated(
 
     def to_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         old = batch.column(at).to_pylist()
-        new = [cleaned(x, blocks.value, window, most_share) for x in old]
+        new = cleaned(old, blocks.value, window, most_share)
         texts = pa.array([x if x is None else y for x, y in zip(old, new)], pa.string())
         kept = pa.array([y is not None for y in new])
         return batch.set_column(at, batch.schema.field(at), texts).filter(kept)
