@@ -34,9 +34,12 @@ def beside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame],
 
 
 def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a language that is told with enough certainty, from a model of this input."""
+    """Documents in a language that is told with enough certainty, from a model of this input if it has labels."""
     small_batches(spark)
     model = language_id.train(docs, crc_of_id("doc_id") % 3 != 1)
+    if not model.languages:
+        # Without a labelled row nothing can be told; only texts without a letter are surely in no language.
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     return beside(docs, ("lang_pred", "score"), lambda rows: language_id.identified(rows, model).where(sure))
 

@@ -88,3 +88,10 @@ def test_clean_documents_stay(spark, stage):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.STAGES[stage][1](spark, docs, DATA)
     assert sorted(r.text for r in found.collect()) == sorted(r[1] for r in rows)
+
+
+def test_documents_without_labels_stay(spark):
+    rows = [(1, "clean words of a text", None), (2, "漢字", None), (3, "12 34 !", None), (4, "", None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = corpus_pipeline.identify(spark, docs, DATA)
+    assert found.columns == docs.columns and sorted(r.doc_id for r in found.collect()) == [1, 2]
