@@ -152,9 +152,48 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM b JOIN x ON b.doc_id = x.doc_id
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+grams AS (
+  SELECT lang, w[u.pos : u.pos + k.k - 1] AS w, k.k, count(*) AS a
+  FROM lists, (VALUES (1), (2), (3), (4)) k(k), unnest(range(1, len(w) - k.k + 2)) AS u(pos)
+  GROUP BY ALL HAVING count(*) >= 30
+),
+cuts AS (
+  SELECT g.lang, g.w, g.k, g.a, f.a AS l, r.a AS r, 2000000::HUGEINT * g.a // (f.a + r.a) AS score, c.cut
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM grams) c
+  JOIN grams g ON g.lang = c.lang AND g.w = c.w
+  JOIN grams f ON f.lang = g.lang AND f.w = g.w[1 : c.cut]
+  JOIN grams r ON r.lang = g.lang AND r.w = g.w[c.cut + 1 :]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, w[v.pos : v.pos + m.m - 1] AS w, a, (m.m = k - 1 AND v.pos = 2)::INT AS left1, (m.m = k - 1 AND v.pos = 1)::INT AS right1
+  FROM grams, (VALUES (2), (3)) m(m), unnest(range(1, k - m.m + 2)) AS v(pos)
+  WHERE m.m < k
+),
+longer AS (SELECT lang, w, max(a) AS most, sum(left1) AS n_left, sum(right1) AS n_right FROM inside GROUP BY ALL),
+kept AS (
+  SELECT c.lang, array_to_string(c.w, ' ') AS phrase, c.a, c.l, c.r, c.score, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right
+  FROM lowest c LEFT JOIN longer o ON o.lang = c.lang AND o.w = c.w
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * c.a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score, n_left::BIGINT AS n_left, n_right::BIGINT AS n_right
+FROM ranked r JOIN totals t ON t.lang = r.lang
+WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op3_line_dedup": LINE_DEDUP,
     "op5_near_dedup": NEAR_DEDUP,
     "op6_decontamination": DECONTAMINATION,
     "op9_quality_rules": QUALITY,
+    "op11_collocations": COLLOCATIONS,
 }

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality, suffix_dedup, token_counts
+from weekpulse.llm import (
+    best_fit, bpe_codec, collocations, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality,
+    suffix_dedup, token_counts, whitening,
+)
 from weekpulse.llm.oracle import ORACLE
 from weekpulse.llm.tables import crc_of_id, read_table
 
@@ -84,6 +87,21 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.packed(read_table(spark, folder, "documents"), VOCABULARY)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Beyond a long a deviation is NULL here; the decimal has it in any case."""
+    rows = whitening.whitened(read_table(spark, folder, "embeddings"))
+    exact = F.col("deviation")
+    return rows.withColumns({"deviation": exact.try_cast("long"), "deviation_decimal": exact})
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_scores": op2_lm_scores,
@@ -95,4 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
+    "op12_best_fit": op12_best_fit,
+    "op13_whitening": op13_whitening,
 }
