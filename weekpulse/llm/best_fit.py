@@ -1,9 +1,9 @@
 """Documents packed into sequences of a fixed size, by best fit over a histogram of lengths.
 
-1. Texts are encoded once, in stretches, into pieces: a document longer than a sequence is cut into full
-   pieces, of which only the first may be shorter. The pieces (their place, length and checksum, no ids)
-   are written to the shared folder. With them goes the task that made them and how many pieces of the same
-   length that task had made before.
+1. Texts are encoded once, by the tokenizers library's model over its pieces of text, which are remembered,
+   since most come again. A document longer than a sequence is cut into full pieces, of which only the
+   first may be shorter. The pieces (their place, length and checksum, no ids) are written to the shared
+   folder. With them goes the task that made them and how many of the same length it had made before.
 2. Pieces are counted by task and length; running sums over tasks turn the place within the task into a
    rank within the length, although no task ever holds all pieces of a length.
 3. The plan is made from the number of pieces of each length, at most as many numbers as a sequence has
@@ -21,7 +21,7 @@ and NULL ids, are documents of their own. An empty table gives no rows; other co
 from __future__ import annotations
 
 import functools
-import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,52 +32,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekpulse.llm.byte_bpe import read_vocabulary, stretches
+from weekpulse.llm.byte_bpe import Memo, byte_letters, parsed, parts, read_vocabulary
 from weekpulse.llm.tables import written
 
 SIZE, END_ID = 1024, 2
-# Text given to the tokenizer at a time, in characters; it holds far more than this for each token.
-AT_ONCE = 1 << 18
 PIECE = "piece int, start long, length long, ids_crc32 long, task int, local long"
 PLACE = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(content: bytes):
-    # The task has one core; the others are other tasks'.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def encoder(content: bytes) -> Memo:
+    """The tokenizer's ids of a piece, 32 bits each and little-endian."""
     from tokenizers import Tokenizer
 
-    read = Tokenizer.from_buffer(content)
-    read.no_truncation()
-    read.no_padding()
-    return read
-
-
-def encoded(texts: Iterator[str], content: bytes) -> Iterator[np.ndarray]:
-    """The ids of each text. Long texts go in stretches, short ones together."""
-    encode = tokenizer(content).encode_batch_fast
-    waiting: list[list[str]] = []
-    n = 0
-
-    def flush() -> Iterator[np.ndarray]:
-        found = iter(encode([part for parts in waiting for part in parts], add_special_tokens=False))
-        for parts in waiting:
-            yield np.concatenate([np.array(next(found).ids, np.uint32) for _ in parts])
-
-    for text in texts:
-        if len(text) > AT_ONCE:
-            yield from flush()
-            waiting, n = [], 0
-            parts = (encode([part], add_special_tokens=False)[0].ids for part in stretches(text))
-            yield np.concatenate([np.array(ids, np.uint32) for ids in parts])
-            continue
-        waiting.append([text])
-        n += len(text)
-        if n > AT_ONCE:
-            yield from flush()
-            waiting, n = [], 0
-    yield from flush()
+    model = Tokenizer.from_buffer(content).model
+    letters = byte_letters()
+
+    def ids(piece: str) -> bytes:
+        found = [token.id for token in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    return Memo(ids)
+
+
+def encoded(text: str, content: bytes) -> bytes:
+    ids = encoder(content).__getitem__
+    return b"".join(
+        struct.pack("<I", part) if isinstance(part, int) else b"".join(map(ids, part))
+        for part in parts(text, parsed(content))
+    )
 
 
 def cuts(length: int, size: int) -> list[tuple[int, int]]:
@@ -91,20 +74,20 @@ def pieces(docs: DataFrame, content, size: int, end_id: int) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(PIECE).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), [0] * (size + 1)
+        task, made, end = TaskContext.get().partitionId(), [0] * (size + 1), struct.pack("<I", end_id)
         for batch in batches:
             rows, found = [], []
-            texts = (text.as_py() for text in batch.column(1))
-            for row, ids in enumerate(encoded(texts, content.value)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for number, (start, length) in enumerate(cuts(len(ids), size)):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
+            for row, text in enumerate(batch.column(1)):
+                ids = encoded(text.as_py(), content.value) + end
+                for number, (start, length) in enumerate(cuts(len(ids) // 4, size)):
+                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                     rows.append(row)
                     found.append((number, start, length, crc, task, made[length]))
                     made[length] += 1
             if rows:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*found), ARROW_PIECE)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], schema.names)
+        encoder(content.value).forget()
 
     return docs.mapInArrow(run, schema)
 

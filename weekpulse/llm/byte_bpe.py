@@ -10,6 +10,7 @@ import functools
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import regex
 
@@ -28,6 +29,7 @@ PLAIN_PIECE = re.compile(
 # No piece goes on from a visible character into white space, so text may be cut there.
 SAFE_CUT = regex.compile(r"\S(?=\s)")
 STRETCH = 1 << 16
+AT_ONCE = 4096
 
 
 def byte_letters() -> list[str]:
@@ -113,28 +115,51 @@ def pieces(text: str) -> list[str]:
     return PIECE.findall(text) if ODD.search(text) else PLAIN_PIECE.findall(text)
 
 
+def in_lists(stretch: str) -> Iterator[list[str]]:
+    """The pieces of a stretch, some at a time if it is one that could not be cut."""
+    if len(stretch) <= 2 * STRETCH:
+        yield pieces(stretch)
+        return
+    found = (match[0] for match in PIECE.finditer(stretch))
+    while part := list(islice(found, AT_ONCE)):
+        yield part
+
+
 def parts(text: str, vocabulary: Vocabulary) -> Iterator[list[str] | int]:
     """Lists of pieces, and the id of each special token that stands in the text."""
     start = 0
     for found in vocabulary.special.finditer(text) if vocabulary.special else ():
         for stretch in stretches(text[start : found.start()]):
-            yield pieces(stretch)
+            yield from in_lists(stretch)
         yield vocabulary.specials[found[0]]
         start = found.end()
     for stretch in stretches(text[start:] if start else text):
-        yield pieces(stretch)
+        yield from in_lists(stretch)
 
 
 class Memo(dict):
-    """What was worked out for short pieces, emptied when it holds ``most`` of them."""
+    """What was worked out for short pieces, in two generations.
+
+    A full generation becomes the old one and the former old one goes; a piece met again comes back
+    from it. So pieces that are frequent stay, and no more than twice ``most`` are held.
+    """
 
-    def __init__(self, work, most: int = 150_000, longest: int = 40):
-        self.work, self.most, self.longest = work, most, longest
+    def __init__(self, work, most: int = 200_000, longest: int = 40):
+        self.work, self.most, self.longest, self.old = work, most, longest, {}
 
     def __missing__(self, piece: str):
-        result = self.work(piece.encode())
-        if len(piece) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = result
+        result = self.old.get(piece)
+        if result is None:
+            result = self.work(piece)
+            if len(piece) > self.longest:
+                return result
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = result
         return result
+
+    def forget(self) -> None:
+        """When a task ends: its worker may go on to others."""
+        self.old = {}
+        self.clear()

@@ -42,13 +42,16 @@ def by_batch(
     frame: DataFrame,
     to_batch: Callable[[pa.RecordBatch], pa.RecordBatch],
     schema: str,
+    at_end: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """Each Arrow batch turned into one batch of results; nothing is kept between batches."""
+    """Each Arrow batch turned into one batch of results; ``at_end`` runs when a task is through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield to_batch(batch)
+        if at_end:
+            at_end()
 
     return frame.mapInArrow(run, schema)
 

@@ -59,7 +59,7 @@ def symbols_left(piece: bytes, vocabulary: Vocabulary) -> int:
 @functools.lru_cache(maxsize=4)
 def counter(content: bytes) -> Memo:
     vocabulary = parsed(content)
-    return Memo(lambda piece: symbols_left(piece, vocabulary))
+    return Memo(lambda piece: symbols_left(piece.encode(), vocabulary))
 
 
 def count_tokens(text: str, content: bytes) -> int:
@@ -85,4 +85,4 @@ def token_counts(
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")))
-    return by_batch(rows, to_batch, SCHEMA)
+    return by_batch(rows, to_batch, SCHEMA, at_end=lambda: counter(content.value).forget())
