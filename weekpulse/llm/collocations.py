@@ -38,12 +38,12 @@ from weekpulse.sources.shared import new_folder
 
 UNKNOWN = "und"
 MOST_WORDS = 4
-SHARD = 1 << 20
+SHARD = 1 << 19
 FILTER_BITS = 27
 BUCKET = 1 << 15  # places in one of Spark's bitmaps
 INDEX = "lang string, words binary, bwt binary, reverse_bwt binary"
 GRAMS = "lang string, phrase string, n long"
-ROWS_OUT = 100_000
+ROWS_OUT = 50_000
 # Fixed value: the marks that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECE_END = b"."
