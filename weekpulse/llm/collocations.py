@@ -7,10 +7,10 @@
 2. A phrase is a pair of intervals, one in either transform. All intervals of a shard are extended at once:
    left by the symbols of the first transform (words to pairs, three to four), right by those of the second
    (two to three). Each extension moves both intervals, and its size is the phrase's count.
-3. Counts are added up over shards, a word at a time longer. A phrase can only be frequent if its parts are,
-   so a shard extends only phrases that a filter of the last sums lets through: a bitmap of ``FILTER_BITS``
-   hash places, the one thing broadcast, of at most 16 MB. Wrong hits only cost work: phrases stay
-   strings, and sums decide.
+3. Counts are added up over shards, a word at a time longer: first by ``KEY_BITS`` of a hash, which tells
+   what may be frequent, then as strings, of these phrases alone, which decides. A phrase can only be frequent
+   if its parts are, so a shard extends only phrases that may be. What may be is a bitmap of 2^``FILTER_BITS``
+   places, the one thing broadcast: 8 MB for each length. Wrong hits only cost work.
 4. What is frequent is joined to its parts by phrase, to longer phrases by what they contain, and ranked.
 
 NULL text is empty and has no words; a NULL language is ``und``. Repeated rows count again, ids are not read,
@@ -39,7 +39,7 @@ from weekpulse.sources.shared import new_folder
 UNKNOWN = "und"
 MOST_WORDS = 4
 SHARD = 1 << 19
-FILTER_BITS = 27
+KEY_BITS, FILTER_BITS = 40, 26
 BUCKET = 1 << 15  # places in one of Spark's bitmaps
 INDEX = "lang string, words binary, bwt binary, reverse_bwt binary"
 GRAMS = "lang string, phrase string, n long"
@@ -156,45 +156,32 @@ class Known:
     """Whether the phrases of each length, as ids of a shard's words, may be frequent."""
 
     def __init__(self, lang: str, words: list[bytes], bits: dict[int, np.ndarray]):
-        self.of_word = np.array([0, *(xxhash.xxh64_intdigest(w, 42) for w in words)], np.uint64)
-        self.of_lang = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
+        self.of_word = np.array([0, *(xxhash.xxh64_intdigest(w) for w in words)], np.uint64)
+        self.of_lang = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
         self.bits = bits
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        """Of rows of word ids."""
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        """Hashes of rows of word ids, ``KEY_BITS`` long."""
         hashes = np.full(len(grams), self.of_lang)
         for place in range(grams.shape[1]):
             hashes ^= rotated(self.of_word[grams[:, place]], place)
-        at = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-        return ((self.bits[grams.shape[1]][at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-
-def bits_of(bitmaps: dict[int, bytes]) -> np.ndarray:
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for number, bitmap in bitmaps.items():
-        bits[number * BUCKET // 8 : (number + 1) * BUCKET // 8] = np.frombuffer(bitmap, np.uint8)
-    return bits
-
+        return (hashes & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
 
-def place_in_filter(length: int) -> Column:
-    """The same of a phrase's words; from 1 on, as Spark's bitmaps count."""
-    words = F.split("phrase", " ")
-    hashes = F.xxhash64("lang")
-    for place in range(length):
-        own, by = F.xxhash64(F.get(words, F.lit(place))), 13 * place
-        if by:
-            own = F.shiftleft(own, by).bitwiseOR(F.shiftrightunsigned(own, 64 - by))
-        hashes = hashes.bitwiseXOR(own)
-    return hashes.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at = self.keys(grams) & ((1 << FILTER_BITS) - 1)
+        return ((self.bits[grams.shape[1]][at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def filter_of(frequent: DataFrame, length: int) -> dict[int, bytes]:
-    """Bitmaps by number, at most 2^FILTER_BITS bits in all."""
-    places = frequent.select(place_in_filter(length).alias("at"))
-    bitmaps = places.groupBy(F.bitmap_bucket_number("at").alias("number")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+def filter_of(keys: DataFrame) -> bytes:
+    """A bit for each key's last ``FILTER_BITS``; Spark's bitmaps count from 1 on."""
+    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(at).alias("number")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
     )
-    return {r.number - 1: bytes(r.bits) for r in bitmaps.collect()}
+    bits = bytearray((1 << FILTER_BITS) // 8)
+    for row in bitmaps.collect():
+        bits[(row.number - 1) * BUCKET // 8 : row.number * BUCKET // 8] = row.bits
+    return bytes(bits)
 
 
 def grams(index: Index, known: Known, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,18 +216,33 @@ def grams(index: Index, known: Known, length: int) -> tuple[np.ndarray, np.ndarr
     return phrases, size
 
 
-def counted(indexes: DataFrame, length: int, filters) -> DataFrame:
-    """lang, phrase and n of each shard's phrases; ``filters`` is a broadcast of those of shorter ones."""
+def counted(indexes: DataFrame, length: int, filters: dict, as_keys: bool) -> DataFrame:
+    """Counts of each shard's phrases: by hash, or as strings of those that the filter of their length has.
+
+    ``filters`` holds the broadcast bits of each length. Beside single words goes the number of all of them,
+    as that of the empty phrase.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {shorter: bits_of(bitmaps) for shorter, bitmaps in filters.value.items()}
+        bits = {n: np.frombuffer(of_length.value, np.uint8) for n, of_length in filters.items()}
         for batch in batches:
             for row in range(batch.num_rows):
                 lang, words, *transforms = (c[row] for c in batch.columns)
                 lang = lang.as_py()
                 words = words.as_py().split(b" ") if len(words.as_buffer()) else []
                 index = Index(words, *(np.frombuffer(t.as_buffer(), np.int32) for t in transforms))
-                phrases, size = grams(index, Known(lang, words, bits), length)
+                known = Known(lang, words, bits)
+                phrases, size = grams(index, known, length)
+                if as_keys:
+                    keys = known.keys(phrases)
+                    order = np.argsort(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(size[order])], ["key", "n"])
+                    continue
+                if length == 1:
+                    of_all = [pa.array([v]) for v in (lang, "", int(size.sum()))]
+                    yield pa.RecordBatch.from_arrays(of_all, ["lang", "phrase", "n"])
+                kept = known(phrases)
+                phrases, size = phrases[kept], size[kept]
                 texts = pa.array([b"", *words], pa.binary()).cast(pa.string())
                 for start in range(0, len(size), ROWS_OUT):
                     part = phrases[start : start + ROWS_OUT]
@@ -251,7 +253,7 @@ def counted(indexes: DataFrame, length: int, filters) -> DataFrame:
                     )
 
     columns = ["lang", "words", "bwt"] + (["reverse_bwt"] if length > 2 else [])
-    return indexes.select(*columns).mapInArrow(run, GRAMS)
+    return indexes.select(*columns).mapInArrow(run, "key long, n long" if as_keys else GRAMS)
 
 
 @contextmanager
@@ -283,13 +285,13 @@ def frequent_phrases(
     levels, filters, n_words = [], {}, None
     with batches_of(spark, "16m"):
         for length in range(1, MOST_WORDS + 1):
-            found = counted(indexes, length, spark.sparkContext.broadcast(dict(filters)))
-            sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+            by_key = counted(indexes, length, dict(filters), True).groupBy("key").agg(F.sum("n").alias("n"))
+            filters[length] = spark.sparkContext.broadcast(filter_of(by_key.where(F.col("n") >= least)))
+            found = counted(indexes, length, dict(filters), False)
+            sums = written(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrases")
             if length == 1:
-                sums = written(sums, "words")
-                n_words = sums.groupBy("lang").agg(F.sum("n").alias("n_words"))
-            levels.append(written(sums.where(F.col("n") >= least), "phrases"))
-            filters[length] = filter_of(levels[-1], length)
+                n_words = sums.where("phrase = ''").select("lang", F.col("n").alias("n_words"))
+            levels.append(sums.where((F.col("n") >= least) & (F.col("phrase") != "")))
     return levels, n_words
 
 
