@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.comparing import DATA, assert_same, duck
@@ -80,8 +80,10 @@ def test_days_without_rows(spark):
     assert totals.notif_today > 0 and totals.notif_last_week == 0
     other = SPEC.at(SPEC.as_of.replace(month=3))
     assert Report(read_rollup(spark, f"{place}/table", other), other).summary().count() == 0
-    with pytest.raises(AnalysisException):
-        read_rollup(spark, f"{place}/nothing", SPEC)
+    # A table that no batch has been written to yet.
+    fresh = Report(read_rollup(spark, f"{place}/nothing", SPEC), SPEC)
+    assert fresh.summary().count() == 0 and fresh.kpi_totals().first().notif_today == 0
+    compact_rollup(spark, f"{place}/nothing")
 
 
 def add_events(spark, inbox, rows):
@@ -200,7 +202,106 @@ def test_compaction_loses_nothing(spark, monkeypatch, crash):
     start(spark, inbox, place)
     compact_rollup(spark, table)
     assert counted(spark, place) == 9
-    assert [r.upto for r in spark.read.parquet(f"{table}/compacted").select("upto").distinct().collect()] == [3]
+    assert {r.upto for r in spark.read.parquet(f"{table}/compacted").select("upto").distinct().collect()} == {2, 3}
+
+
+def files_of_days(spark, table):
+    found = {}
+    for file in read_rollup(spark, table).inputFiles():
+        if "/compacted/" in file:
+            found.setdefault(file.split("event_date=")[1][:10], set()).add(file)
+    return found
+
+
+def test_compaction_rewrites_touched_days_only_and_in_levels(spark, monkeypatch):
+    """Batches 0 to n of one day each, closed one by one; the first day comes once and keeps its files."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    table, written = f"{place}/table", []
+    write = rollup._write
+    monkeypatch.setattr(rollup, "_write", lambda sums, folder: (written.append(folder), write(sums, folder)))
+    monkeypatch.setattr(rollup, "FAN", 2)
+    early = TODAY - timedelta(days=9)
+    add_events(spark, inbox, [(0, early, 1, "view", None, '{"k": 0}')])
+    start(spark, inbox, place)
+    first = None
+    for k in range(1, 9):
+        add_events(spark, inbox, [event(k)])
+        start(spark, inbox, place)
+        compact_rollup(spark, table)
+        days = files_of_days(spark, table)
+        first = first or days[str(early.date())]
+        assert days[str(early.date())] == first
+        assert counted(spark, place) == k + 1
+    # Batch 0 on its own day, then batches 1 to 7, one a call.
+    levels = [int(folder.split("level=")[1].split("/")[0]) for folder in written if "/compacted/" in folder]
+    assert levels == [0, 0, 1, 0, 2, 0, 1, 0]
+    parts = rollup._live(rollup._parts(spark, table), rollup._complete(spark, table))
+    for level in range(3):
+        assert sum(part.level == level for part in parts if part.day == str(TODAY.date())) < rollup.FAN
+
+
+def test_an_unfinished_compaction_is_not_read(spark, monkeypatch):
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    table = f"{place}/table"
+    for k in range(3):
+        add_events(spark, inbox, [event(k)])
+        start(spark, inbox, place)
+    monkeypatch.setattr(spark.__class__, "range", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        compact_rollup(spark, table)
+    monkeypatch.undo()
+    add_events(spark, inbox, [event(3)])
+    start(spark, inbox, place)
+    assert counted(spark, place) == 4
+    compact_rollup(spark, table)
+    assert counted(spark, place) == 4
+    assert {(part.first, part.upto) for part in rollup._parts(spark, table)} == {(0, 2)}
+
+
+def deliver(spark, inbox, place, checkpoint, to_fact=None):
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    known = spark.createDataFrame([(1, "a")], CUSTOMERS)
+    start_rollup(
+        events, f"{place}/table", f"{place}/{checkpoint}", to_fact or (lambda batch: events_to_fact(batch, known)),
+        once=True, event_id="event_id", event_time="ts",
+    ).awaitTermination()
+
+
+def test_a_feed_delivered_again_changes_nothing(spark):
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    add_events(spark, inbox, [event(1), event(2), event(2), event(None), event(None)])
+    add_events(spark, inbox, [event(2), event(3), (3, TODAY - timedelta(days=1), 1, "view", None, '{"k": 0}')])
+    deliver(spark, inbox, place, "one")
+    # Ids 1, 2 and 3, 3 of another day, and two that cannot be told apart.
+    assert counted(spark, place) == 6
+    deliver(spark, inbox, place, "two")
+    # The two count whenever they come.
+    assert counted(spark, place) == 8
+    compact_rollup(spark, f"{place}/table")
+    deliver(spark, inbox, place, "three")
+    assert counted(spark, place) == 10
+
+
+def test_deliveries_survive_a_crash_between_ids_and_sums(spark):
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    add_events(spark, inbox, [event(1), event(2)])
+
+    def crash(batch):
+        raise RuntimeError("lost")
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            deliver(spark, inbox, place, "one", crash)
+    # Its ids are there and its sums are not: another run counts the events, and the first one, resumed, does not.
+    deliver(spark, inbox, place, "two")
+    assert counted(spark, place) == 2
+    deliver(spark, inbox, place, "one")
+    assert counted(spark, place) == 2
+
+
+def test_ids_and_times_go_together(spark):
+    with pytest.raises(ValueError, match="event_time"):
+        start_rollup(None, "", "", event_id="event_id")
 
 
 @pytest.mark.parametrize("mode", ["complete", "append"])

@@ -13,8 +13,11 @@ from weekpulse.queries import (
     HOURS_AHEAD,
     KNOWN_SUBSET,
     LATE,
+    MONTH,
+    N_TIMES,
     SELECTED,
     SPEC,
+    STEP,
     SWING,
     WITHOUT_ROWS,
     ZONE,
@@ -372,6 +375,29 @@ def _rollup() -> str:
 SELECT brand, feature, date_hour, {", ".join(sums)} FROM fact GROUP BY brand, feature, date_hour"""
 
 
+def _live() -> str:
+    """At the newest hour of all events."""
+    return _summary(SPEC).replace(f"TIMESTAMP '{SPEC.as_of}'", "(SELECT max(date_hour) FROM fact)")
+
+
+def _month() -> str:
+    """Each time by itself: the rows of either period by a join on its bounds."""
+    seconds = int(STEP.total_seconds())
+    sums = ", ".join(
+        f"coalesce(sum({SOURCE_COLUMN[m]}) FILTER (side = '{s}'), 0) AS {m}_{s}" for m in M5 for s in SIDES
+    )
+    inside = " UNION ALL ".join(
+        f"SELECT t.as_of, '{s}' AS side, f.* FROM times t JOIN fact f ON {_selection(MONTH)} AND "
+        + _inside(MONTH, s).replace(f"TIMESTAMP '{MONTH.as_of}'", "t.as_of")
+        for s in SIDES
+    )
+    return f"""WITH {FACT},
+times AS (SELECT TIMESTAMP '{MONTH.as_of}' + to_seconds({seconds} * k) AS as_of FROM range({N_TIMES}) r(k)),
+inside AS ({inside}),
+b AS (SELECT as_of, brand, feature, {sums} FROM inside GROUP BY as_of, brand, feature)
+SELECT as_of, brand, feature, {_compared(M4, _rounded)} FROM b"""
+
+
 ORACLE: dict[str, str] = {
     "wow_summary": _summary(SPEC),
     "wow_summary_foj": _summary(SPEC),
@@ -422,4 +448,8 @@ ORACLE: dict[str, str] = {
     "rejected_events": f"WITH {EVENT} SELECT coalesce({REJECTED}, 'counted') AS outcome, count(*) AS n FROM event GROUP BY 1",
     "wow_summary_by_day": _summary(SPEC),
     "wow_summary_from_rollup": _summary(SPEC),
+    "wow_summary_replayed": _summary(SPEC),
+    "wow_summary_live": _live(),
+    "wow_summary_refreshed": _summary(SPEC),
+    "wow_summaries_month": _month(),
 }

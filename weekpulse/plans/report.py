@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekpulse.functions import percent
 from weekpulse.functions.display import display_table
+from weekpulse.operators.many_times import period_sums_at
 from weekpulse.operators.measures import ALL, MAIN, both_sides, compared
 from weekpulse.operators.outer_join import joined_period_sums
 from weekpulse.operators.period_sums import CUBE_KEYS, add_up, add_up_sets, period_sums
+from weekpulse.operators.refreshed import kept_hours, same_days, since, unsettled_from
 from weekpulse.plans import hourly, insights, totals
+from weekpulse.sources.shared import new_folder, remove
 from weekpulse.spec import ReportSpec, check_read_for
 
 GRAINS = {
@@ -35,6 +38,7 @@ class Report:
         self.fact = fact
         self.spec = spec
         self._cube: DataFrame | None = None
+        self._folder: str | None = None
 
     def cache(self) -> Report:
         if self._cube is None:
@@ -45,16 +49,45 @@ class Report:
         if self._cube is not None:
             self._cube.unpersist()
             self._cube = None
+        if self._folder is not None:
+            remove(self.fact.sparkSession, self._folder)
+            self._folder = None
 
-    def refresh(self, fact: DataFrame, as_of: datetime) -> Report:
+    def refresh(self, fact: DataFrame, as_of: datetime, unsettled_hours: int | None = None) -> Report:
         """The same report at a new time, dropping what was kept for the old one.
 
-        The fact rows are given anew: the old ones may have been read for the old periods only.
+        The fact rows are given anew: the old ones may have been read for the old periods only. With
+        `unsettled_hours`, hours that far before the end of a period are taken to have all their rows; a
+        cached report on the same day then keeps their sums and reads only the hours after them.
         """
-        cached = self._cube is not None
+        cached, fresh = self._cube is not None, Report(fact, self.spec.at(as_of))
+        if cached and unsettled_hours is not None and same_days(self.spec, fresh.spec):
+            fresh._follow(self._cube, self.spec, unsettled_hours)
+        elif cached:
+            fresh.cache()
         self.close()
-        fresh = Report(fact, self.spec.at(as_of))
-        return fresh.cache() if cached else fresh
+        return fresh
+
+    def _follow(self, cube: DataFrame, before: ReportSpec, unsettled_hours: int) -> None:
+        """The cube from an earlier one of the same days.
+
+        It is written, so that refreshing again and again does not lengthen what it is derived from.
+        """
+        spark = self.fact.sparkSession
+        hours = unsettled_from(before, self.spec, unsettled_hours)
+        new = period_sums(since(self.fact, self.spec, hours), self.spec, CUBE_KEYS)
+        sums = add_up(kept_hours(cube, hours).union(new), CUBE_KEYS)
+        self._folder = new_folder(spark, "cube")
+        sums.where("rows_today + rows_last_week > 0").select(
+            *(F.col(f.name).cast(f.dataType) for f in cube.schema)
+        ).write.parquet(self._folder)
+        self._cube = spark.read.schema(cube.schema).parquet(self._folder)
+
+    def summaries(self, step: timedelta, count: int) -> DataFrame:
+        """The summary at `as_of` and `count` - 1 later times, `step` apart, from one scan."""
+        sums = period_sums_at(self.fact, self.spec, step, count, ("brand", "feature"))
+        rows = sums.select("as_of", "brand", "feature", *compared(MAIN, percent.rounded))
+        return rows.orderBy("as_of", "brand", "feature")
 
     def sums(self, *keys: str) -> DataFrame:
         if self._cube is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from weekpulse.sources.export import export, read_export
 from weekpulse.sources.fact import DAY, read_fact, write_fact
 from weekpulse.sources.shared import new_folder
 from weekpulse.spec import ReportSpec
+from weekpulse.streaming.live import live_summary, start_live
 from weekpulse.streaming.rollup import compact_rollup, hour_totals, read_rollup, start_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,10 @@ LATE = replace(SPEC, as_of=datetime(2024, 1, 15, 22, 30))
 SWING = replace(SPEC, as_of=datetime(2024, 1, 15, 8, 30))
 KNOWN_SUBSET = replace(SPEC, known_brands=SPEC.known_brands[:3], known_features=SPEC.known_features[2:5])
 WITHOUT_ROWS = replace(SPEC, as_of=datetime(2025, 6, 1, 12))
+MORNING = replace(SPEC, as_of=datetime(2024, 1, 15, 5, 30))
+# Reports every six hours of a month.
+MONTH = replace(SPEC, as_of=datetime(2024, 1, 1, 2, 30))
+STEP, N_TIMES = timedelta(hours=6), 116
 ZONE = "Asia/Jerusalem"
 HOURS_AHEAD = 3
 
@@ -74,6 +79,14 @@ def with_totals(result: Callable[[Report], DataFrame]) -> Query:
     return query
 
 
+def wow_summary_refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports kept in the morning and refreshed twice, each time from the hours after the settled ones."""
+    report = Report(event_feed(spark, folder, MORNING), MORNING).cache()
+    for spec in (SWING, SPEC):
+        report = report.refresh(event_feed(spark, folder, spec), spec.as_of, unsettled_hours=1)
+    return report.summary()
+
+
 def wow_summary_by_day(spark: SparkSession, folder: str) -> DataFrame:
     """All events as a fact table by day, of which the report reads two days."""
     path = new_folder(spark, "fact")
@@ -81,14 +94,17 @@ def wow_summary_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return Report(read_fact(spark, path=path, spec=SPEC, day_column=DAY), SPEC).summary()
 
 
-def streamed(spark: SparkSession, events: DataFrame, folder: str, place: str) -> None:
+def streamed(
+    spark: SparkSession, events: DataFrame, folder: str, place: str, checkpoint: str = "checkpoint", **told: str
+) -> None:
     start_rollup(
         events,
         table=f"{place}/table",
-        checkpoint=f"{place}/checkpoint",
+        checkpoint=f"{place}/{checkpoint}",
         # The customers as they are when the batch runs.
         to_fact=lambda batch: events_to_fact(batch, read_customers(spark, folder)),
         once=True,
+        **told,
     ).awaitTermination()
 
 
@@ -115,6 +131,27 @@ def wow_summary_from_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return Report(read_rollup(spark, f"{place}/table", SPEC), SPEC).summary()
 
 
+def wow_summary_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """All events delivered twice, the second time to a new run after a compaction: counted once."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "rollup")
+    read_events(spark, folder).repartitionByRange(2, "ts").write.parquet(inbox)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    for checkpoint in ("first", "second"):
+        streamed(spark, events, folder, place, checkpoint, event_id="event_id", event_time="ts")
+        compact_rollup(spark, f"{place}/table")
+    return Report(read_rollup(spark, f"{place}/table", SPEC), SPEC).summary()
+
+
+def wow_summary_live(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary at the newest hour of all events, as a stream keeps it in state."""
+    inbox, place = new_folder(spark, "inbox"), new_folder(spark, "live")
+    read_events(spark, folder).repartitionByRange(3, "ts").write.parquet(inbox)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(inbox)
+    fact = events_to_fact(events, read_customers(spark, folder))
+    start_live(fact, SPEC, f"{place}/table", f"{place}/checkpoint", once=True).awaitTermination()
+    return live_summary(spark, f"{place}/table")
+
+
 QUERIES: dict[str, Query] = {
     "wow_summary": on_report(Report.summary),
     "wow_summary_foj": on_report(Report.summary_by_join),
@@ -160,4 +197,9 @@ QUERIES: dict[str, Query] = {
     "rejected_events": lambda spark, folder: rejected_events(read_events(spark, folder)),
     "wow_summary_by_day": wow_summary_by_day,
     "wow_summary_from_rollup": wow_summary_from_rollup,
+    "wow_summary_replayed": wow_summary_replayed,
+    "wow_summary_live": wow_summary_live,
+    "wow_summary_refreshed": wow_summary_refreshed,
+    # One scan for all times, so the events are read whole.
+    "wow_summaries_month": lambda spark, folder: Report(event_feed(spark, folder), MONTH).summaries(STEP, N_TIMES),
 }

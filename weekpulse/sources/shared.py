@@ -32,6 +32,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what is in a folder; none if there is no such folder."""
+    files, path = file_system(spark, folder)
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    files, path = file_system(spark, place)
+    return files.exists(path)
+
+
 def file_system(spark: SparkSession, folder: str) -> tuple:
     """Hadoop's file system of the folder, which Spark itself writes with, and the folder's path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
