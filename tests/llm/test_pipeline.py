@@ -56,7 +56,7 @@ def test_pipeline(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in documents.collect() if re.search(r"[^\W\d_]", r.text)]
-    rows = plain_lines(rows)
+    rows = [(i, t) for i, t in plain_lines(rows) if brute.words(t)]
     first = brute.near_components(rows)
     rows = [(i, t) for i, t in rows if first[i] == i]
     cut = [(i, plain_cut(t, items)) for i, t in rows]
@@ -82,6 +82,23 @@ def test_stages_keep_the_columns_of_documents(spark, odd):  # noqa: F811
         assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == n
 
 
+def test_planted_copies_end_as_one_row_and_none_is_left_empty(spark):
+    text = lambda k: "\n".join(f"line {j} of text {k} with words of its own like w{k}x{j}" for j in range(12))
+    rows = [(10 * k + c, text(k), "en") for k in range(6) for c in range(4)]
+    near = " ".join(f"only{j}" for j in range(80))
+    rows += [(900, near, "en"), (901, near + " and one more", "en"), (902, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, DATA)
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 10, 20, 30, 40, 50, 900, 902]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("stage", [1, 3])
 def test_clean_documents_stay(spark, stage):
     rows = [(k, " ".join(f"clean{k}word{j}" for j in range(40)), "en", "s", 10) for k in range(20)]

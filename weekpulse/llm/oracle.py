@@ -77,7 +77,7 @@ FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id
 
 RATE_NAMES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 # Spreads times the quartile distance, and the slack of each rate.
-REACH = {"word_length": 150, "symbol_rate": 100, "dup_line_rate": 300, "repeat_rate": 100}
+REACH = {"word_length": 150, "symbol_rate": 20, "dup_line_rate": 50, "repeat_rate": 20}
 
 
 def limits(keys: str, name: str) -> str:
@@ -86,7 +86,8 @@ def limits(keys: str, name: str) -> str:
     return f"""
 {name} AS (
   SELECT {by}name, max(total) AS total,
-         min(value) FILTER (4 * below >= total) AS q1, min(value) FILTER (4 * below >= 3 * total) AS q3
+         min(value) FILTER (100 * below >= CASE name WHEN 'word_length' THEN 25 ELSE 90 END * total) AS q1,
+         min(value) FILTER (100 * below >= CASE name WHEN 'word_length' THEN 75 ELSE 99 END * total) AS q3
   FROM (
     SELECT {by}name, value, sum(n) OVER (PARTITION BY {by}name ORDER BY value) AS below,
            sum(n) OVER (PARTITION BY {by}name) AS total
@@ -96,7 +97,7 @@ def limits(keys: str, name: str) -> str:
 
 
 FAILED = " ".join(
-    f"WHEN '{name}' THEN r.value > l.q3 + 4 * (l.q3 - l.q1) + {slack}"
+    f"WHEN '{name}' THEN r.value > l.q3 + {4 if name == 'word_length' else 1} * (l.q3 - l.q1) + {slack}"
     + (f" OR r.value < l.q1 - 4 * (l.q3 - l.q1) - {slack}" if name == "word_length" else "")
     for name, slack in REACH.items()
 )

@@ -6,9 +6,10 @@ lines, repeated words). A sketch of a rate is a histogram over log-linear bucket
 bits after the first six, so within 1/32 of it): counts by bucket, partly summed before the shuffle,
 add up in any order to the same sketch. Source sketches are merged by language, and those for all
 documents; a group of fewer than ``least`` documents takes its language's thresholds, or those of all.
-A rate fails above its upper quartile plus ``spreads`` times the distance between the quartiles plus the
-rule's slack (mean word length also below the lower one). Documents that fail the fixed base rules are
-not learned from. The thresholds are joined to the documents by language and source.
+The mean word length fails outside its quartiles by ``spreads`` times their distance and a slack. Most
+documents have no symbols, repeated lines or repeated words at all, so these three rates go by their tail:
+they fail above the 99th percentile plus its distance from the 90th and a small slack. Documents that fail
+the fixed base rules are not learned from. The thresholds are joined to the documents by language and source.
 
 NULL and empty texts have no words, so they fail the base. A NULL language or source is a group like
 any other. Repeated rows and ids are rows of their own. An empty table gives none. Columns other than
@@ -26,9 +27,9 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 # Rate: per how many of what, slack, and whether low values fail too.
 RATES: dict[str, tuple[str, int, str, int, bool]] = {
     "word_length": ("word_chars", 100, "n_words", 150, True),
-    "symbol_rate": ("n_symbols", 1000, "n_words", 100, False),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 300, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 100, False),
+    "symbol_rate": ("n_symbols", 1000, "n_words", 20, False),
+    "dup_line_rate": ("n_dup_lines", 1000, "n_lines", 50, False),
+    "repeat_rate": ("n_repeat_words", 1000, "n_words", 20, False),
 }
 BITS = 6
 
@@ -119,20 +120,24 @@ def limits(cells: DataFrame, keys: list[str], spreads: int) -> DataFrame:
     """For each group its number of documents and, by rate, the least and most allowed."""
     merged = cells.groupBy(*keys, "name", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "name")
-    below = F.sum("n").over(group.orderBy("value"))
-    total = F.sum("n").over(group)
+    below, total = F.sum("n").over(group.orderBy("value")), F.sum("n").over(group)
     ranked = merged.select(*keys, "name", "value", below.alias("below"), total.alias("total"))
-    quartile = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("value")))
+    quartiles = F.col("name").isin([name for name, rule in RATES.items() if rule[-1]])
+
+    def percentile(middle: int, tail: int) -> Column:
+        reached = 100 * F.col("below") >= F.when(quartiles, middle).otherwise(tail) * F.col("total")
+        return F.min(F.when(reached, F.col("value")))
+
     found = ranked.groupBy(*keys, "name").agg(
-        F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3")
+        F.max("total").alias("total"), percentile(25, 90).alias("low"), percentile(75, 99).alias("high")
     )
     columns = [F.max("total").alias("n")]
     for name, (_, _, _, slack, two_sided) in RATES.items():
-        reach = spreads * (F.col("q3") - F.col("q1")) + slack
+        reach = (spreads if two_sided else 1) * (F.col("high") - F.col("low")) + slack
         own = F.col("name") == name
-        columns.append(F.max(F.when(own, F.col("q3") + reach)).alias(f"{name}_most"))
+        columns.append(F.max(F.when(own, F.col("high") + reach)).alias(f"{name}_most"))
         if two_sided:
-            columns.append(F.max(F.when(own, F.col("q1") - reach)).alias(f"{name}_least"))
+            columns.append(F.max(F.when(own, F.col("low") - reach)).alias(f"{name}_least"))
     return found.groupBy(*keys).agg(*columns)
 
 
