@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpulse.llm import bpe_codec, decontamination, language_id, line_dedup, near_dup
-from weekpulse.llm.tables import crc_of_id, read_table, small_batches, written
+from weekpulse.llm.tables import SPACE, crc_of_id, read_table, small_batches, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,9 +45,10 @@ def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines that other documents have, too, stay in the first one only; every document stays."""
+    """Lines that other documents have, too, stay in the first one only; who lost all its words goes."""
     small_batches(spark)
-    return with_length(beside(docs, ("n_lines", "n_dropped"), line_dedup.line_dedup))
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(f"[^{SPACE}]")
+    return with_length(beside(docs, ("n_lines", "n_dropped"), lambda rows: line_dedup.line_dedup(rows).where(~emptied)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
