@@ -356,8 +356,11 @@ def test_sums_are_asked_of_the_warehouse(spark):
     def read(url, statement, properties):
         assert url == "jdbc:x" and properties["user"] == "u"
         found = connection.execute(f"SELECT * FROM {statement}").fetchall()
+        # The types that the statement itself asks for, as DuckDB names them.
+        asked = {d[0]: str(d[1]) for d in connection.execute(f"SELECT * FROM {statement}").description}
+        assert asked["revenue"] == "DECIMAL(38,6)" and {asked[c] for c in FACT_COLUMNS[5:]} == {"BIGINT"}
         longs = ", ".join(f"{c} bigint" for c in FACT_COLUMNS[5:])
-        kinds = f"brand string, feature string, source string, date_hour timestamp_ntz, revenue decimal(38,2), {longs}"
+        kinds = f"brand string, feature string, source string, date_hour timestamp_ntz, revenue decimal(38,6), {longs}"
         return spark.createDataFrame(found, kinds)
 
     session.read.jdbc.side_effect = read
@@ -371,5 +374,7 @@ def test_grouped_statement():
     text = sums_statement("s.facts", spec, "date_hour > 1")
     assert "brand IN ('a''; DROP')" in text and "(source = 'FOTA')" in text and "(date_hour > 1) AND" in text
     assert text.endswith("GROUP BY brand, feature, source, date_hour) AS hourly_sums")
+    assert "CAST(SUM(revenue) AS DECIMAL(38,6)) AS revenue" in text
+    assert text.count("AS BIGINT)") == 4 and "CAST(SUM(new_devices) AS BIGINT) AS new_devices" in text
     with pytest.raises(ValueError, match="not safe"):
         sums_statement("s.facts", replace(spec, brands=("a\\",)), "TRUE")

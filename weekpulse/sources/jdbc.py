@@ -20,6 +20,10 @@ def warehouse_url(host: str, database: str, port: int = DEFAULT_PORT, kind: str
     return f"jdbc:{kind}://{host}:{port}/{database}"
 
 
+# Also for readers of hourly sums: their revenue has six decimals.
+REVENUE_SUM = "DECIMAL(38,6)"
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -72,7 +76,10 @@ def sums_statement(table: str, spec: ReportSpec, condition: str) -> str:
     `table` is put in as it is given, as Spark does with its own `dbtable`.
     """
     keys = "brand, feature, source, date_hour"
-    sums = ", ".join(f"SUM({c}) AS {c}" for c in FACT_COLUMN.values())
+    # Warehouses widen sums of whole numbers to numerics of their own; these are the fact table's types.
+    sums = ", ".join(
+        f"CAST(SUM({c}) AS {REVENUE_SUM if c == 'revenue' else 'BIGINT'}) AS {c}" for c in FACT_COLUMN.values()
+    )
     conditions = [condition]
     for name, values in (("brand", spec.selected_brands), ("feature", spec.selected_features)):
         if values:
