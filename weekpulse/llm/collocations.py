@@ -257,15 +257,21 @@ def counted(indexes: DataFrame, length: int, filters: dict, as_keys: bool) -> Da
 
 
 @contextmanager
-def batches_of(spark: SparkSession, size: str):
-    """Index rows are megabytes long, so a task holds few at a time."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+def bounded_passes(spark: SparkSession):
+    """Settings while the passes run: index rows are megabytes long, so that an Arrow batch has few of them,
+    and each pass is written or collected once, so that its shuffle files go when it ends."""
+    own = {
+        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def frequent_phrases(
@@ -283,7 +289,7 @@ def frequent_phrases(
     shards(texts, shard).write.options(**few).parquet(path)
     indexes = spark.read.schema(INDEX).parquet(path)
     levels, filters, n_words = [], {}, None
-    with batches_of(spark, "16m"):
+    with bounded_passes(spark):
         for length in range(1, MOST_WORDS + 1):
             by_key = counted(indexes, length, dict(filters), True).groupBy("key").agg(F.sum("n").alias("n"))
             filters[length] = spark.sparkContext.broadcast(filter_of(by_key.where(F.col("n") >= least)))
