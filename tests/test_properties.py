@@ -25,6 +25,12 @@ NOT_FROM_CUBE = {
     "multi_grain_empty",
     "wow_summary_by_day",
     "wow_summary_from_rollup",
+    "wow_summary_replayed",
+    "wow_summary_live",
+    "wow_summary_refreshed",
+    "wow_summaries_month",
+    "wow_selected_clustered",
+    "wow_summary_bucketed",
 }
 RESULTS = {
     "summary": Report.summary,

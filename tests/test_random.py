@@ -68,7 +68,11 @@ RESULTS = {
     "multi_grain_empty": (Report.multi_grain, WITHOUT_ROWS),
 }
 # Not on fact rows, or through files.
-OTHERS = {"export_roundtrip", "hourly_rollup_stream", "rejected_events", "wow_summary_by_day", "wow_summary_from_rollup"}
+OTHERS = {
+    "export_roundtrip", "hourly_rollup_stream", "rejected_events", "wow_summary_by_day", "wow_summary_from_rollup",
+    "wow_summary_replayed", "wow_summary_live", "wow_summary_refreshed", "wow_summaries_month",
+    "wow_selected_clustered", "wow_summary_bucketed",
+}
 
 
 def random_rows(seed: int) -> list[tuple]:

@@ -447,6 +447,8 @@ ORACLE: dict[str, str] = {
     "multi_grain_empty": _multi_grain(WITHOUT_ROWS),
     "rejected_events": f"WITH {EVENT} SELECT coalesce({REJECTED}, 'counted') AS outcome, count(*) AS n FROM event GROUP BY 1",
     "wow_summary_by_day": _summary(SPEC),
+    "wow_selected_clustered": _summary(SELECTED),
+    "wow_summary_bucketed": _summary(SPEC),
     "wow_summary_from_rollup": _summary(SPEC),
     "wow_summary_replayed": _summary(SPEC),
     "wow_summary_live": _live(),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -21,6 +22,7 @@ from weekpulse.sources.events import (
 )
 from weekpulse.sources.export import export, read_export
 from weekpulse.sources.fact import DAY, read_fact, write_fact
+from weekpulse.sources.layout import write_buckets, write_clustered
 from weekpulse.sources.shared import new_folder
 from weekpulse.spec import ReportSpec
 from weekpulse.streaming.live import live_summary, start_live
@@ -47,6 +49,7 @@ MORNING = replace(SPEC, as_of=datetime(2024, 1, 15, 5, 30))
 MONTH = replace(SPEC, as_of=datetime(2024, 1, 1, 2, 30))
 STEP, N_TIMES = timedelta(hours=6), 116
 ZONE = "Asia/Jerusalem"
+BUCKETS = 8
 HOURS_AHEAD = 3
 
 
@@ -94,6 +97,20 @@ def wow_summary_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return Report(read_fact(spark, path=path, spec=SPEC, day_column=DAY), SPEC).summary()
 
 
+def wow_selected_clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as a fact table clustered by brand, feature and hour, of which a selection is read."""
+    path = new_folder(spark, "clustered")
+    write_clustered(event_feed(spark, folder), path)
+    return Report(read_fact(spark, path=path, spec=SELECTED, day_column=DAY), SELECTED).summary()
+
+
+def wow_summary_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as a bucketed table of hourly sums, whose two periods are joined without a shuffle."""
+    table = f"fact_{uuid.uuid4().hex}"
+    write_buckets(event_feed(spark, folder), table, BUCKETS, new_folder(spark, "buckets"))
+    return Report(read_fact(spark, table=table, spec=SPEC, day_column=DAY), SPEC).summary_by_join()
+
+
 def streamed(
     spark: SparkSession, events: DataFrame, folder: str, place: str, checkpoint: str = "checkpoint", **told: str
 ) -> None:
@@ -196,6 +213,8 @@ QUERIES: dict[str, Query] = {
     "multi_grain_empty": on_report(Report.multi_grain, WITHOUT_ROWS),
     "rejected_events": lambda spark, folder: rejected_events(read_events(spark, folder)),
     "wow_summary_by_day": wow_summary_by_day,
+    "wow_selected_clustered": wow_selected_clustered,
+    "wow_summary_bucketed": wow_summary_bucketed,
     "wow_summary_from_rollup": wow_summary_from_rollup,
     "wow_summary_replayed": wow_summary_replayed,
     "wow_summary_live": wow_summary_live,

@@ -33,22 +33,40 @@ def read_jdbc(
     slice_hours: int = 1,
     split_column: str | None = None,
     splits: int = 1,
+    slices: int | None = None,
 ) -> DataFrame:
     """One connection per slice of the report's two periods; nothing outside them is fetched.
 
     Spark adds the selected columns and the brand, feature and source filters to each statement.
     An hour too large for one connection is divided further by a whole-number column.
+
+    With `slices`, the warehouse counts the selected rows of each hour first, and about that many slices
+    of about equally many rows are read; `split_column` then divides only the hours that need it.
     """
-    slices = period_predicates(spec, slice_hours=slice_hours)
-    rows = spark.read.jdbc(
-        url,
-        table,
-        predicates=split_predicates(slices, split_column, splits),
-        properties=connection_properties(properties),
-    )
+    if slices is None:
+        predicates = split_predicates(period_predicates(spec, slice_hours=slice_hours), split_column, splits)
+    else:
+        counts = rows_by_hour(spark, url, table, spec, properties)
+        predicates = equal_depth_predicates(spec, counts, slices, split_column)
+    rows = spark.read.jdbc(url, table, predicates=predicates, properties=connection_properties(properties))
     return read_for(as_fact(rows), spec)
 
 
+def rows_by_hour(
+    spark: SparkSession, url: str, table: str, spec: ReportSpec, properties: dict[str, str] | None = None
+) -> dict[datetime, int]:
+    """How many selected rows each hour of the two periods has: at most 48 numbers, counted in the warehouse."""
+    found = spark.read.jdbc(url, histogram_statement(table, spec), properties=connection_properties(properties))
+    return {row["hour_start"]: int(row["n"]) for row in found.collect()}
+
+
+def histogram_statement(table: str, spec: ReportSpec) -> str:
+    hour = "DATE_TRUNC('hour', date_hour)"
+    either = " OR ".join(f"({c})" for c in period_predicates(spec, slice_hours=24))
+    where = " AND ".join(f"({c})" for c in (either, *selection(spec)))
+    return f"(SELECT {hour} AS hour_start, COUNT(*) AS n FROM {table} WHERE {where} GROUP BY {hour}) AS rows_by_hour"
+
+
 def read_jdbc_sums(
     spark: SparkSession,
     url: str,
@@ -80,14 +98,18 @@ def sums_statement(table: str, spec: ReportSpec, condition: str) -> str:
     sums = ", ".join(
         f"CAST(SUM({c}) AS {REVENUE_SUM if c == 'revenue' else 'BIGINT'}) AS {c}" for c in FACT_COLUMN.values()
     )
-    conditions = [condition]
+    where = " AND ".join(f"({c})" for c in (condition, *selection(spec)))
+    return f"(SELECT {keys}, {sums} FROM {table} WHERE {where} GROUP BY {keys}) AS hourly_sums"
+
+
+def selection(spec: ReportSpec) -> list[str]:
+    conditions = []
     for name, values in (("brand", spec.selected_brands), ("feature", spec.selected_features)):
         if values:
             conditions.append(f"{name} IN ({', '.join(map(text_literal, values))})")
     if spec.selected_source is not None:
         conditions.append(f"source = {text_literal(spec.selected_source)}")
-    where = " AND ".join(f"({c})" for c in conditions)
-    return f"(SELECT {keys}, {sums} FROM {table} WHERE {where} GROUP BY {keys}) AS hourly_sums"
+    return conditions
 
 
 def text_literal(text: str) -> str:
@@ -129,6 +151,39 @@ def split_predicates(predicates: list[str], column: str | None, splits: int) ->
     ]
 
 
+def equal_depth_predicates(
+    spec: ReportSpec,
+    counts: dict[datetime, int],
+    slices: int,
+    split_column: str | None = None,
+    column: str = "date_hour",
+) -> list[str]:
+    """Conditions that hold for exactly the rows of both periods, once each, and for about equally many.
+
+    Hours are put together as long as they have no more than their share. One with more is divided by
+    `split_column`. Hours without a count are covered, too: rows may have come since.
+    """
+    share = max(1, -(-sum(counts.values()) // slices))
+    found = []
+    for period in spec.periods:
+        start, held, at = period.start, 0, period.start
+        while at <= period.end:
+            n = counts.get(at, 0)
+            if held and held + n > share:
+                found += split_predicates([_part(column, start, at)], split_column, -(-held // share))
+                start, held = at, 0
+            held += n
+            at += timedelta(hours=1)
+        if not period.empty:
+            last = f"{column} >= {_literal(start)} AND {column} <= {_literal(period.end)}"
+            found += split_predicates([last], split_column, -(-held // share))
+    return found or ["1 = 0"]
+
+
+def _part(column: str, start: datetime, end: datetime) -> str:
+    return f"{column} >= {_literal(start)} AND {column} < {_literal(end)}"
+
+
 def _slices(period: Period, column: str, step: timedelta) -> list[str]:
     found, start = [], period.start
     while start <= period.end:
@@ -136,7 +191,7 @@ def _slices(period: Period, column: str, step: timedelta) -> list[str]:
         if end > period.end:
             found.append(f"{column} >= {_literal(start)} AND {column} <= {_literal(period.end)}")
         else:
-            found.append(f"{column} >= {_literal(start)} AND {column} < {_literal(end)}")
+            found.append(_part(column, start, end))
         start = end
     return found
 
