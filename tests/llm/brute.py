@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import exp, log, log10
 
 import pandas as pd
 
@@ -192,3 +193,46 @@ def rows_of(frame: pd.DataFrame, *columns: str) -> list[tuple]:
     """Rows as plain tuples in a fixed order; None for what is missing."""
     plain = frame[list(columns)].astype(object)
     return sorted((tuple(x.values()) for x in plain.where(plain.notna(), None).to_dict("records")), key=str)
+
+
+def grams_of(text: str | None, buckets: int = 1 << 16) -> Counter:
+    """How often each bucket is hit by the text's character n-grams of one to three, one n-gram at a time."""
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split(" ")
+    letters = " ".join(r for r in runs if r)
+    if not letters:
+        return Counter()
+    letters, full = f" {letters} ", (1 << 64) - 1
+    found: Counter = Counter()
+    for n in (1, 2, 3):
+        for at in range(len(letters) - n + 1):
+            mixed = n * 0x51ED270B
+            for c, by in zip(letters[at : at + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                mixed = (mixed ^ (ord(c) * by)) * 0xFF51AFD7ED558CCD & full
+                mixed ^= mixed >> 32
+            found[mixed % buckets] += 1
+    return found
+
+
+def languages(rows: list[tuple[int, str | None, str | None]], smoothing: float = 0.5, buckets: int = 1 << 16) -> list[tuple]:
+    """doc_id, held_out, lang_pred and score by naive Bayes, written out."""
+    grams = [grams_of(text, buckets) for _, text, _ in rows]
+    counts, texts = defaultdict(Counter), Counter()
+    for (doc_id, text, lang), own in zip(rows, grams):
+        if crc(doc_id) % 3 != 1 and text is not None and lang is not None:
+            counts[lang] += own
+            texts[lang] += 1
+    total = {lang: sum(own.values()) + smoothing * buckets for lang, own in counts.items()}
+    out = []
+    for (doc_id, _, _), own in zip(rows, grams):
+        held_out = crc(doc_id) % 3 == 1
+        if not own or not texts:
+            out.append((doc_id, held_out, "und", 0.0))
+            continue
+        logs = {
+            lang: log(texts[lang] / sum(texts.values()))
+            + sum(n * log((counts[lang][g] + smoothing) / total[lang]) for g, n in own.items())
+            for lang in sorted(texts)
+        }
+        best = max(logs, key=logs.get)
+        out.append((doc_id, held_out, best, 1 / sum(exp(v - logs[best]) for v in logs.values())))
+    return out
