@@ -1,6 +1,7 @@
 """Connected components of a graph given as pairs, by alternating large and small stars.
 
-Each round joins every node to the least node around it; the number of pairs never grows. Rounds are
+Each round joins every node to the least node around it; the number of pairs never grows. Rounds go on until
+one changes nothing, as many as the graph needs (about the square of the logarithm of its nodes at most). Rounds are
 written to the shared folder, and only their count and checksum come to the driver. A hub with a large
 part of all pairs is a hot key of a join between two shuffled sides, which adaptive execution splits;
 its least neighbour is found by partial minima.
@@ -21,12 +22,12 @@ def with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("of")).drop("of")
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every id that stands in a pair of two ids."""
     pairs = pairs.toDF("u", "v").where("u != v")
     pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.union(pairs.select("v", "u"))
         large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         small = with_least(large.where("u != v").distinct())
@@ -36,7 +37,5 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
