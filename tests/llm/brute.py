@@ -56,47 +56,63 @@ def lm_base(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
     }
 
 
+def em(events: list[tuple], usable: list[bool], rounds: int) -> list[float]:
+    weight = [u / sum(usable) for u in usable]
+    for _ in range(rounds):
+        share = [0.5] * len(usable)
+        for found in events:
+            parts = [a * b for a, b in zip(weight, found)]
+            share = [s + x / sum(parts) for s, x in zip(share, parts)]
+        share = [s * u for s, u in zip(share, usable)]
+        weight = [s / sum(share) for s in share]
+    return weight
+
+
 def lm_mixture(rows: list[tuple[int, str | None]], rounds: int = 100) -> dict[int, float]:
     tokens = {i: [*words(lower(t or "")), None] for i, t in rows}
     fold = {i: crc(i) % 7 for i in tokens}
 
+    def contexts(i):
+        return zip(["<s>", "<s>", *tokens[i]], ["<s>", *tokens[i]], tokens[i])
+
     def counted(ids):
-        single, pairs = Counter(), Counter()
+        single, pairs, threes = Counter(), Counter(), Counter()
         for i in ids:
             single.update(tokens[i])
-            pairs.update(zip(["<s>", *tokens[i]], tokens[i]))
-        return single, pairs, sum(single.values()), len(single)
-
-    def estimates(i, single, pairs, n, v):
-        for before, w in zip(["<s>", *tokens[i]], tokens[i]):
-            context = single[None] if before == "<s>" else single[before]
-            bigram = pairs[before, w] / context if context else 0.0
-            yield min(context.bit_length(), 23), (bigram, single[w] / n, (single[w] + 1) / (n + v + 1))
+            threes.update(contexts(i))
+            pairs.update((b, w) for _, b, w in contexts(i))
+        return single, pairs, threes, sum(single.values()), len(single)
+
+    def estimates(i, single, pairs, threes, n, v):
+        for first, before, w in contexts(i):
+            one = single[None] if before == "<s>" else single[before]
+            two = single[None] if before == "<s>" else pairs[first, before]
+            bigram = pairs[before, w] / one if one else 0.0
+            trigram = threes[first, before, w] / two if two else 0.0
+            buckets = min(one.bit_length(), 23), min(two.bit_length(), 23)
+            yield *buckets, trigram, (bigram, single[w] / n, (single[w] + 1) / (n + v + 1))
+
+    def mixed(weights, found):
+        return sum(a * b for a, b in zip(weights, found))
 
     kept = counted(i for i in tokens if fold[i] not in (2, 3))
-    events = defaultdict(list)
-    for i in tokens:
-        if fold[i] == 3:
-            for bucket, found in estimates(i, *kept):
-                events[bucket].append(found)
-    weights = {}
+    seen = [x for i in tokens if fold[i] == 3 for x in estimates(i, *kept)]
+    weights, shares = {}, {0: 0.0}
     for bucket in range(24):
-        usable = [bucket > 0, True, True]
-        weight = [u / sum(usable) for u in usable]
-        if not events[bucket]:
+        events = [found for one, _, _, found in seen if one == bucket]
+        if events:
+            weights[bucket] = em(events, [bucket > 0, True, True], rounds)
+        else:
             weights[bucket] = weights[bucket - 1] if bucket > 1 else [0.0, 0.0, 1.0]
-            continue
-        for _ in range(rounds):
-            share = [0.5, 0.5, 0.5]
-            for found in events[bucket]:
-                parts = [a * b for a, b in zip(weight, found)]
-                share = [s + x / sum(parts) for s, x in zip(share, parts)]
-            share = [s * u for s, u in zip(share, usable)]
-            weight = [s / sum(share) for s in share]
-        weights[bucket] = weight
+    for bucket in range(1, 24):
+        events = [(trigram, mixed(weights[one], found)) for one, two, trigram, found in seen if two == bucket]
+        shares[bucket] = em(events, [True, True], rounds)[0] if events else shares[bucket - 1]
     every = counted(i for i in tokens if fold[i] != 2)
     return {
-        i: sum(log10(sum(a * b for a, b in zip(weights[bucket], found))) for bucket, found in estimates(i, *every))
+        i: sum(
+            log10(shares[two] * trigram + (1 - shares[two]) * mixed(weights[one], found))
+            for one, two, trigram, found in estimates(i, *every)
+        )
         for i in tokens
     }
 

@@ -17,7 +17,7 @@ from weekpulse.llm import (
     bpe_codec, byte_bpe, decontamination, language_id, line_dedup, near_dup, ngram_lm, pii, quality, suffix_dedup, token_counts,
 )
 from weekpulse.llm.queries import QUERIES
-from weekpulse.llm.tables import crc_of_id
+from weekpulse.llm.tables import crc_of_id, written
 
 DATA = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -146,6 +146,36 @@ def test_lm_scores_are_the_mixture(documents, plain):
     assert found == pytest.approx(wanted, rel=5e-3)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_lm_scores_in_steps(documents, plain, fan):
+    """Ranges asked by way of merged nodes: the same scores."""
+    wanted = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.lm_scores(documents).collect()}
+    found = ngram_lm.lm_scores(documents, batch_bytes=50_000, range_grams=10_000, fan=fan).collect()
+    assert len(found) == len(wanted)
+    for r in found:
+        assert (r.n_known, r.train_tokens) == wanted[r.doc_id][:2]
+        assert (r.base_score, r.score) == pytest.approx(wanted[r.doc_id][2:], rel=1e-9)
+
+
+def test_lm_rows_grow_with_the_input(documents, monkeypatch):
+    """Four times the texts: about four times the rows a step, though batches and ranges both grow."""
+    sent = []
+
+    def counting(frame, purpose):
+        out = written(frame, purpose)
+        sent.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_lm, "written", counting)
+    per_step = []
+    for copies in (1, 4):
+        sent.clear()
+        texts = documents.select("doc_id", F.explode(F.array_repeat("text", copies)).alias("text"))
+        ngram_lm.lm_scores(texts, batch_bytes=40_000, range_grams=8_000, fan=4).count()
+        per_step.append(max(n for purpose, n in sent if purpose in ("asked", "merged", "counts", "answers")))
+    assert per_step[1] < 5 * per_step[0]
+
+
 def test_lm_odd(odd, empty):
     found = ngram_lm.lm_scores(odd)
     assert found.count() == len(ODD_ROWS)

@@ -1,66 +1,86 @@
-"""LM scoring by deleted interpolation.
+"""LM scoring by deleted interpolation of trigrams, bigrams and unigrams.
 
 The probability of a word after its predecessor is a mixture of the maximum-likelihood bigram, the
-maximum-likelihood unigram and the add-one unigram (which knows a place for words never seen). The
-weights depend on how often the predecessor was seen (buckets by powers of two) and are learned by
+maximum-likelihood unigram and the add-one unigram (which knows a place for words never seen); after its two
+predecessors it is a mixture of that and the maximum-likelihood trigram. The weights depend on how often
+the context (one word, or two) was seen, in buckets by powers of two, and are learned by
 expectation-maximisation on counts of a fold of the training texts that is left out of the counts for
 that purpose (deleted); the scores then use the counts of all training texts.
 
-No table of the corpus' n-grams goes to one place. Documents are dealt by hash into batches of about
-``BATCH_BYTES``. Each batch sends its distinct n-grams, as sorted hashes with their counts in the kept and
-in the deleted fold, to ranges of the hash space (about ``RANGE_GRAMS`` each); a range adds the counts up
-and answers every batch in the order of its question. The answers are written to the shared folder;
-scoring brings them together with the batch's texts. A frequent word or a copied text is one n-gram a
-batch, so no range is hot. What EM needs of the deleted fold is a histogram over buckets and the
-ratios of the three estimates in steps of an eighth of an octave: bounded, and added up by cell.
-
-Words are 64-bit hashes, bigrams 56-bit ones. NULL and empty texts are just an end. Rows without id are
-scored but neither learned from nor counted in a fold; rows that repeat an id are scored and counted
-one by one. Without training rows every weight is on the add-one unigram. An empty table gives no rows.
-Other columns are not read. For much larger inputs raise ``BATCH_BYTES`` with the memory of a task: a
-batch should have 50 n-grams or more for each range.
+No table of the corpus' n-grams goes to one place. Each task makes batches of about ``BATCH_BYTES`` of its
+texts as it reads them. A batch asks for its distinct n-grams, as sorted hashes with their counts in the kept
+and in the deleted fold, by ranges of the hash space (about ``RANGE_GRAMS`` each); a range adds the counts
+up and answers in the order of the question. One step asks at most ``FAN`` ranges. Where there are more, as many
+batches are first merged to a node that holds one part in ``FAN`` of the hash space, and so about as many n-grams
+as one batch; nodes ask on in the same way, and answers take the same steps back. So each step
+moves every n-gram of a batch once in rows that do not get shorter with the input, and the number of steps is
+its logarithm. A frequent word or a copied text is one n-gram a batch, so no range is hot. What EM needs of the
+deleted fold are histograms over buckets and the ratios of the estimates in steps of a 32nd of an
+octave: bounded, and added up by cell.
+
+Words are 64-bit hashes; those of longer n-grams have 20 bits more than the number of tokens. With its question, a
+batch sends its texts as numbers of words, so that texts are read and cut into words once. They
+have to come in the same order whenever a lost task is run again, as they do from files.
+
+NULL and empty texts are just an end. Rows without id are scored but neither learned from nor counted in a fold;
+rows that repeat an id are scored and counted one by one. Without training rows every weight is on the add-one
+unigram. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpulse.llm.tables import crc_of_id, written
 
 BATCH_BYTES = 8_000_000
 RANGE_GRAMS = 1_500_000
-# About so many bytes of text for each token; only sets the number of ranges.
+FAN = 128
+# About so many bytes of text for each token; only sets the number of ranges and of bits.
 TOKEN_BYTES = 5
-END, START = (np.uint64(xxhash.xxh3_64_intdigest(b"", seed)) for seed in (0, 1))
+END, START, BEFORE = (np.uint64(xxhash.xxh3_64_intdigest(b"", seed)) for seed in (0, 1, 2))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 24
-STEPS = 8
+# Ratios of estimates are told apart in so many steps an octave.
+STEPS = 32
 UNSEEN = -(1 << 20)
 STRETCH = 1 << 20
-ASKED = "place int, batch int, n int, grams binary, kept binary, deleted binary"
-ANSWERED = "batch int, place int, kept binary, deleted binary, distinct long, distinct_kept long, tokens long, tokens_kept long"
+ASKED = "place long, source long, n int, grams binary, kept binary, deleted binary"
+ANSWERED = "place long, source long, n int, kept binary, deleted binary"
+TOTALS = ("distinct", "distinct_kept", "tokens", "tokens_kept")
+FINAL = ASKED + "".join(f", {name} long" for name in TOTALS)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+ARROW = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
+
+
+def rows_of(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [field.split() for field in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.table({name: pa.array(own, ARROW[kind]) for (name, kind), own in zip(fields, columns)})
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers by bytes of equal weight, without the leading ones that are all zero."""
+    """Whole numbers by bytes of equal weight, without the leading ones that are all zero, compressed."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = 8
     while used > 1 and not planes[used - 1].any():
         used -= 1
-    return planes[:used].tobytes()
+    return bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
     planes = np.zeros((8, n), np.uint8)
-    own = np.frombuffer(data, np.uint8).reshape(-1, n) if n else planes[:0]
-    planes[: len(own)] = own
+    if n:
+        own = pa.decompress(data[1:], data[0] * n, "zstd", asbytes=True)
+        planes[: data[0]] = np.frombuffer(own, np.uint8).reshape(-1, n)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -78,80 +98,133 @@ def tokens_of(text: str) -> np.ndarray:
     return np.concatenate([*parts, np.array([END])])
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each pair of hashes."""
+    both = left * MIX
+    both ^= both >> np.uint64(32)
+    both += right
+    both *= MIX
+    both ^= both >> np.uint64(29)
+    both *= MIX
+    return both
+
+
 class Batch:
-    """A batch's tokens, one text after the other, and its distinct n-grams."""
+    """A batch's tokens, one text after the other, and its distinct n-grams of each order."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, bits: int):
+        self.tokens, self.lengths = tokens, lengths
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        pairs = joined(self.before(tokens, START), tokens)
+        threes = joined(self.before(pairs, BEFORE), tokens)
+        self.bits = (64, bits, bits)
+        cut = np.uint64(64 - bits)
+        found = [np.unique(x, return_inverse=True) for x in (tokens, pairs >> cut, threes >> cut)]
+        self.grams, self.at = zip(*found)
+
+    def before(self, values: np.ndarray, first: np.uint64 | np.ndarray) -> np.ndarray:
+        """The value of the token before; ``first`` where a text begins."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = first
+        return out
 
-    def __init__(self, texts: list[str | None]):
+    @classmethod
+    def of_texts(cls, texts: list[str | None], bits: int) -> Batch:
         own = [tokens_of(text) for text in texts]
-        self.lengths = np.array([len(x) for x in own])
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        tokens = np.concatenate(own)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.starts] = START
-        pairs = before * MIX
-        pairs ^= pairs >> np.uint64(32)
-        pairs += tokens
-        pairs *= MIX
-        pairs ^= pairs >> np.uint64(29)
-        pairs *= MIX
-        self.words, self.word_at = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair_at = np.unique(pairs >> np.uint64(8), return_inverse=True)
-
-    def asked(self, fold: np.ndarray, ranges: int) -> Iterator[tuple]:
+        return cls(np.concatenate(own), np.array([len(x) for x in own]), bits)
+
+    def kept(self) -> tuple:
+        """What ``restored`` needs: words by falling frequency, as their numbers are smaller then."""
+        words, at = self.grams[0], self.at[0]
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        return self.lengths, words[order], packed(number[at])
+
+    @classmethod
+    def restored(cls, lengths: np.ndarray, words: np.ndarray, numbers: bytes, bits: int) -> Batch:
+        return cls(words[unpacked(numbers, int(lengths.sum())).astype(np.int64)], lengths, bits)
+
+    def asked(self, fold: np.ndarray, each: int) -> Iterator[tuple]:
         """fold of each text: 0 kept, 1 deleted, 2 neither. Yields (place, n, grams, kept, deleted)."""
         folds = np.repeat(fold, self.lengths)
-        for order, (grams, at, bits) in enumerate(((self.words, self.word_at, 64), (self.pairs, self.pair_at, 56))):
+        for order, (grams, at, bits) in enumerate(zip(self.grams, self.at, self.bits)):
             counts = [np.bincount(at[folds == k], minlength=len(grams)) for k in (0, 1)]
-            for place, part in slices(grams, bits, ranges):
-                own = grams[part]
-                yield (
-                    order * ranges + place,
-                    len(own),
-                    packed(np.diff(own, prepend=np.uint64(0))),
-                    packed(counts[0][part]),
-                    packed(counts[1][part]),
-                )
-
-    def answered(self, answers: dict[int, tuple[bytes, bytes]], ranges: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The kept and the deleted count of every distinct word, and of every distinct pair."""
+            yield from split(order * each, grams, *counts, slices(grams, bits, each, 0, each))
+
+    def answered(self, answers: dict[int, tuple[bytes, bytes]], each: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order the kept and the deleted count of every distinct n-gram."""
         out = []
-        for order, (grams, bits) in enumerate(((self.words, 64), (self.pairs, 56))):
+        for order, (grams, bits) in enumerate(zip(self.grams, self.bits)):
             found = [np.zeros(len(grams), np.int64) for _ in range(2)]
-            for place, part in slices(grams, bits, ranges):
-                n = part.stop - part.start
-                for into, data in zip(found, answers[order * ranges + place]):
-                    into[part] = unpacked(data, n)
+            for place, part in slices(grams, bits, each, 0, each):
+                for into, data in zip(found, answers[order * each + place]):
+                    into[part] = unpacked(data, part.stop - part.start)
             out.append(tuple(found))
         return out
 
-    def estimates(self, word: np.ndarray, pair: np.ndarray, n: int, distinct: int) -> tuple:
-        """For each token: its count, that of the token before, and the three estimates."""
-        count = word[self.word_at]
-        context = np.empty_like(count)
-        context[1:] = count[:-1]
+    def estimates(self, counts: list[np.ndarray], n: int, distinct: int) -> Estimates:
+        word, pair, three = (own[at] for own, at in zip(counts, self.at))
         # As many texts begin as end.
-        end = np.searchsorted(self.words, END)
-        context[self.starts] = word[end]
-        both = pair[self.pair_at]
-        return (
-            count,
-            context,
-            np.divide(both, context, out=np.zeros(len(both)), where=context > 0),
-            count / max(n, 1),
-            (count + 1) / (n + distinct + 1),
-        )
+        begun = counts[0][np.searchsorted(self.grams[0], END)]
+        return Estimates(word, self.before(word, begun), self.before(pair, begun), pair, three, n, distinct)
+
+
+class Estimates:
+    """For each token: its count, those of the word and of the two words before, and the estimates."""
+
+    def __init__(self, word, context, context_2, pair, three, n: int, distinct: int):
+        self.count, self.context, self.context_2 = word, context, context_2
+        share = lambda part, whole: np.divide(part, whole, out=np.zeros(len(part)), where=whole > 0)
+        self.trigram, self.bigram = share(three, context_2), share(pair, context)
+        self.unigram, self.base = word / max(n, 1), (word + 1) / (n + distinct + 1)
 
+    def after_one(self, weights: np.ndarray) -> np.ndarray:
+        weight = weights[bucket_of(self.context)]
+        return weight[:, 0] * self.bigram + weight[:, 1] * self.unigram + weight[:, 2] * self.base
 
-def slices(grams: np.ndarray, bits: int, ranges: int) -> Iterator[tuple[int, slice]]:
-    """The filled ranges of the hash space and where their n-grams stand."""
-    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
+    def after_two(self, weights: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        share = shares[bucket_of(self.context_2)]
+        return share * self.trigram + (1 - share) * self.after_one(weights)
+
+
+def slices(grams: np.ndarray, bits: int, parts: int, first: int, n: int) -> Iterator[tuple[int, slice]]:
+    """Of ``parts`` ranges of the hash space the n from ``first`` on: the filled ones, and where their n-grams stand."""
+    edges = np.array([((first + k) << bits) // parts for k in range(1, n)], np.uint64)
     cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
     for place, (start, stop) in enumerate(zip(cuts, cuts[1:])):
         if start < stop:
             yield place, slice(start, stop)
 
 
+def split(first: int, grams: np.ndarray, kept: np.ndarray, deleted: np.ndarray, parts: Iterator) -> Iterator[tuple]:
+    for place, part in parts:
+        own = np.diff(grams[part], prepend=np.uint64(0))
+        yield first + place, len(own), packed(own), packed(kept[part]), packed(deleted[part])
+
+
+class Sums:
+    """The n-grams that several sources ask for in one range: distinct, with their counts added up."""
+
+    def __init__(self, asked: pa.Table):
+        self.rows = asked.to_pylist()
+        sizes = [row["n"] for row in self.rows]
+        grams = [np.cumsum(unpacked(row["grams"], row["n"]), dtype=np.uint64) for row in self.rows]
+        self.grams, self.at = np.unique(np.concatenate(grams), return_inverse=True)
+        self.kept, self.deleted = (
+            np.bincount(self.at, np.concatenate([unpacked(row[name], row["n"]) for row in self.rows]), len(self.grams)).astype(np.int64)
+            for name in ("kept", "deleted")
+        )
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def answers(self, kept: np.ndarray, deleted: np.ndarray) -> Iterator[tuple]:
+        """(place, source, n, kept, deleted) for each source, in its own order."""
+        for row, start, stop in zip(self.rows, self.cuts, self.cuts[1:]):
+            own = self.at[start:stop]
+            yield row["place"], row["source"], row["n"], packed(kept[own]), packed(deleted[own])
+
+
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """0 for a context never seen, then one for each power of two."""
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
@@ -165,59 +238,121 @@ def ratio_bins(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return bins
 
 
-def learned_weights(cells: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """EM over (bucket, bigram bin, unigram bin, n) cells; a row of three weights for each bucket."""
+def learned(own: np.ndarray, usable: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """EM over cells of ratios to the last estimate and a number of tokens: one weight for each estimate."""
+    weight = usable / usable.sum()
+    ratios = [np.where(own[:, k] == UNSEEN, 0.0, np.exp2(own[:, k] / STEPS)) for k in range(own.shape[1] - 1)]
+    relative = np.stack([*ratios, np.ones(len(own))], 1)
+    for _ in range(rounds):
+        share = weight * relative
+        share *= (own[:, -1] / share.sum(axis=1))[:, None]
+        # A half count each, so that no weight becomes 0.
+        weight = (share.sum(axis=0) + 0.5) * usable
+        weight /= weight.sum()
+    return weight
+
+
+def learned_weights(cells: np.ndarray) -> np.ndarray:
+    """Of (bucket, bigram bin, unigram bin, n) cells; a row of three weights for each bucket."""
     weights = np.zeros((BUCKETS, 3))
     for bucket in range(BUCKETS):
-        own = cells[cells[:, 0] == bucket] if len(cells) else cells
-        usable = np.array([bucket > 0, True, True])
-        weight = usable / usable.sum()
-        if not len(own):
+        own = cells[cells[:, 0] == bucket, 1:]
+        if len(own):
+            weights[bucket] = learned(own, np.array([bucket > 0, True, True]))
+        else:
             weights[bucket] = weights[bucket - 1] if bucket > 1 else [0.0, 0.0, 1.0]
-            continue
-        # Estimates relative to the add-one unigram.
-        relative = np.stack([np.where(own[:, k] == UNSEEN, 0.0, np.exp2(own[:, k] / STEPS)) for k in (1, 2)] + [np.ones(len(own))], 1)
-        for _ in range(rounds):
-            share = weight * relative
-            share *= (own[:, 3] / share.sum(axis=1))[:, None]
-            # A half count each, so that no weight becomes 0.
-            weight = (share.sum(axis=0) + 0.5) * usable
-            weight /= weight.sum()
-        weights[bucket] = weight
     return weights
 
 
-def answer_range(table: pa.Table, ranges: int) -> pa.Table:
-    """One range of the hash space: counts added up over the batches, in each batch's order."""
-    rows = table.to_pylist()
-    sizes = [row["n"] for row in rows]
-    grams = np.concatenate([np.cumsum(unpacked(row["grams"], row["n"]), dtype=np.uint64) for row in rows])
-    distinct, at = np.unique(grams, return_inverse=True)
-    sums = []
-    for name in ("kept", "deleted"):
-        own = np.concatenate([unpacked(row[name], row["n"]) for row in rows])
-        sums.append(np.bincount(at, own, len(distinct)).astype(np.int64))
-    kept, deleted = sums
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    is_word = rows[0]["place"] < ranges
-    out = []
-    for k, row in enumerate(rows):
-        own = at[cuts[k] : cuts[k + 1]]
-        first = is_word and k == 0
-        out.append(
-            {
-                "batch": row["batch"], "place": row["place"], "kept": packed(kept[own]), "deleted": packed(deleted[own]),
-                "distinct": int((kept + deleted > 0).sum()) if first else 0, "distinct_kept": int((kept > 0).sum()) if first else 0,
-                "tokens": int((kept + deleted).sum()) if first else 0, "tokens_kept": int(kept.sum()) if first else 0,
-            }
-        )
-    types = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
-    return pa.Table.from_pylist(out, pa.schema([(name, types[kind]) for name, kind in (x.split() for x in ANSWERED.split(", "))]))
+def learned_shares(cells: np.ndarray) -> np.ndarray:
+    """Of (bucket, trigram bin, n) cells; the trigram's share for each bucket."""
+    shares = np.zeros(BUCKETS)
+    for bucket in range(1, BUCKETS):
+        own = cells[cells[:, 0] == bucket, 1:]
+        shares[bucket] = learned(own, np.array([True, True]))[0] if len(own) else shares[bucket - 1]
+    return shares
+
+
+def asking(rows: DataFrame, batch_bytes: int, each: int, bits: int) -> DataFrame:
+    """What the batches ask, and for each a row of its own place below 0 with its texts."""
+
+    def flushed(batch: int, ids: list, texts: list, fold: list) -> pa.RecordBatch:
+        own, fold = Batch.of_texts(texts, bits), np.array(fold)
+        out = [(place, batch, *rest) for place, *rest in own.asked(fold, each)]
+        out.append((-1 - batch, batch, len(own.tokens), pickle.dumps((ids, fold == 2, *own.kept())), None, None))
+        return rows_of(ASKED, out).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        # The deleted fold has batches of its own, since EM reads only them: those of odd numbers.
+        held, sizes = [([], [], []), ([], [], [])], [0, 0]
+        for batch in batches:
+            for doc_id, text, fold in zip(*(column.to_pylist() for column in batch.columns)):
+                odd = int(fold == 1)
+                for into, value in zip(held[odd], (doc_id, text, fold)):
+                    into.append(value)
+                sizes[odd] += len(text) + 1
+                if sizes[odd] >= batch_bytes:
+                    yield flushed(first + 2 * made + odd, *held[odd])
+                    held[odd], sizes[odd], made = ([], [], []), 0, made + 1
+        for odd in (0, 1):
+            if held[odd][0]:
+                yield flushed(first + 2 * made + odd, *held[odd])
+
+    return rows.mapInArrow(run, ASKED)
+
+
+def counted(asked: DataFrame, batches: int, each: int, levels: int, bits: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The answers to what is asked at this level, and the last level's, which have the totals."""
+
+    def last(table: pa.Table) -> pa.Table:
+        place = table.column("place")[0].as_py()
+        if place < 0:
+            # A batch's texts, passed on.
+            return rows_of(FINAL, [(*row.values(), *[0] * len(TOTALS)) for row in table.to_pylist()])
+        sums = Sums(table)
+        of_words = place < each**levels
+        every = sums.kept + sums.deleted
+        totals = [int((every > 0).sum()), int((sums.kept > 0).sum()), int(every.sum()), int(sums.kept.sum())]
+        out = []
+        for k, (place, source, n, kept, deleted) in enumerate(sums.answers(sums.kept, sums.deleted)):
+            out.append((place, source, n, None, kept, deleted, *(totals if of_words and not k else [0] * len(TOTALS))))
+        return rows_of(FINAL, out)
+
+    if level == levels:
+        final = written(asked.groupBy("place").applyInArrow(last, FINAL), "counts")
+        return final, final
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        place, group = (x.as_py() for x in key)
+        sums = Sums(table)
+        order, first = divmod(place, each**level)
+        parts = slices(sums.grams, bits if order else 64, each ** (level + 1), first * each, each)
+        rows = split(place * each, sums.grams, sums.kept, sums.deleted, parts)
+        return rows_of(ASKED, [(place, group, *rest) for place, *rest in rows])
+
+    def back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return rows_of(ANSWERED, [])
+        sums = Sums(table)
+        own = sorted(answers.to_pylist(), key=lambda row: row["place"])
+        found = (np.concatenate([unpacked(row[name], row["n"]) for row in own]).astype(np.int64) for name in ("kept", "deleted"))
+        return rows_of(ANSWERED, list(sums.answers(*found)))
+
+    groups = -(-batches // each**level)
+    group = F.pmod(F.xxhash64("source") if level == 1 else F.col("source"), F.lit(groups))
+    placed = asked.where("place >= 0").withColumn("group", group)
+    merged = placed.groupBy("place", "group").applyInArrow(merge, ASKED)
+    if level + 1 < levels:
+        merged = written(merged, "merged")
+    answers, final = counted(merged, batches, each, levels, bits, level + 1)
+    above = answers.where("place >= 0").select("place", "n", "kept", "deleted", F.col("source").alias("group"), F.expr(f"place DIV {each}").alias("parent"))
+    return placed.groupBy("place", "group").cogroup(above.groupBy("parent", "group")).applyInArrow(back, ANSWERED), final
 
 
 def lm_scores(
-    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, range_grams: int = RANGE_GRAMS,
+    docs: DataFrame, folds: int = 7, held_out: int = 2, deleted: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    batch_bytes: int = BATCH_BYTES, range_grams: int = RANGE_GRAMS, fan: int = FAN,
 ) -> DataFrame:
     """Scores of all rows; crc32(id as text) mod folds tells the held-out and the deleted ones."""
     fold = F.coalesce(crc_of_id("doc_id") % folds, F.lit(held_out))
@@ -226,65 +361,63 @@ def lm_scores(
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     batches = size // batch_bytes + 1
     ranges = size // TOKEN_BYTES // range_grams + 1
-    # The deleted fold has batches of its own, since EM reads only them.
-    row_hash = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    dealt = rows.withColumn("batch", (F.pmod(row_hash, F.lit(batches)) * 2 + (F.col("fold") == 1).cast("int")).cast("int"))
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        batch = Batch(table.column("text").to_pylist())
-        asked = list(batch.asked(table.column("fold").to_numpy(), ranges))
-        names, n = ["place", "n", "grams", "kept", "deleted"], len(asked)
-        columns = dict(zip(names, zip(*asked)))
-        return pa.table(
-            {
-                "place": pa.array(columns["place"], pa.int32()), "batch": pa.array([key[0].as_py()] * n, pa.int32()),
-                "n": pa.array(columns["n"], pa.int32()), **{c: pa.array(columns[c], pa.binary()) for c in names[2:]},
-            }
-        )
-
-    asked = dealt.groupBy("batch").applyInArrow(ask, ASKED)
-    answers = written(asked.groupBy("place").applyInArrow(lambda table: answer_range(table, ranges), ANSWERED), "counts")
-    totals = answers.agg(*(F.sum(c).alias(c) for c in ("distinct", "distinct_kept", "tokens", "tokens_kept"))).first()
-    totals = {k: v or 0 for k, v in totals.asDict().items()}
-
-    def brought(texts: pa.Table, own: pa.Table) -> tuple[Batch, list]:
-        batch = Batch(texts.column("text").to_pylist())
-        places, kept, gone = (own.column(c).to_pylist() for c in ("place", "kept", "deleted"))
-        return batch, batch.answered(dict(zip(places, zip(kept, gone))), ranges)
-
-    def observe(texts: pa.Table, own: pa.Table) -> pa.Table:
-        """What the deleted texts show under the kept texts' counts."""
-        batch, ((word, _), (pair, _)) = brought(texts, own)
-        _, context, *found = batch.estimates(word, pair, totals["tokens_kept"], totals["distinct_kept"])
-        cells = np.stack([bucket_of(context), *(ratio_bins(x, found[2]) for x in found[:2])], 1)
-        cells, n = np.unique(cells, axis=0, return_counts=True)
-        return pa.table({"bucket": cells[:, 0], "bigram": cells[:, 1], "unigram": cells[:, 2], "n": n})
-
-    answer = answers.select("batch", "place", "kept", "deleted")
-    seen = (
-        dealt.where("fold = 1").groupBy("batch")
-        .cogroup(answer.where("batch % 2 = 1").groupBy("batch"))
-        .applyInArrow(observe, "bucket long, bigram long, unigram long, n long")
-        .groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n"))
-    )
-    cells = seen.toPandas().to_numpy(dtype=np.int64).reshape(-1, 4)
-    weights = learned_weights(cells[np.lexsort(cells.T[::-1])])
-
-    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        batch, ((word, word_2), (pair, pair_2)) = brought(texts, own)
-        count, context, *found = batch.estimates(word + word_2, pair + pair_2, totals["tokens"], totals["distinct"])
-        weight = weights[bucket_of(context)]
-        mixed = sum(weight[:, k] * found[k] for k in range(3))
+    levels = 1
+    while fan**levels < ranges:
+        levels += 1
+    each = next(k for k in range(1, fan + 1) if k**levels >= ranges)
+    bits = min(64, (size // TOKEN_BYTES).bit_length() + 20)
+
+    asked = asking(rows, batch_bytes, each, bits)
+    if levels > 1:
+        asked = written(asked, "asked")
+    answers, final = counted(asked, batches, each, levels, bits)
+    texts = (asked if levels > 1 else final).where("place < 0").select("source", F.col("grams").alias("kept_texts"))
+    if levels > 1:
+        answers = written(answers, "answers")
+    answers = answers.where("place >= 0").select("source", "place", "kept", "deleted")
+    totals = {k: v or 0 for k, v in final.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()}
+
+    def per_batch(work: Callable[[Batch, list, np.ndarray, list], pa.Table], schema: str, condition: Column) -> DataFrame:
+        def run(own: pa.Table, answered: pa.Table) -> pa.Table:
+            ids, held, *kept = pickle.loads(own.column("kept_texts")[0].as_py())
+            batch = Batch.restored(*kept, bits)
+            places, *counts = (answered.column(c).to_pylist() for c in ("place", "kept", "deleted"))
+            return work(batch, ids, held, batch.answered(dict(zip(places, zip(*counts))), each))
+
+        return texts.where(condition).groupBy("source").cogroup(answers.where(condition).groupBy("source")).applyInArrow(run, schema)
+
+    def observed(names: tuple[str, ...], bins: Callable[[Estimates], list[np.ndarray]]) -> np.ndarray:
+        """What the deleted texts show under the kept texts' counts: cells, in order, with their number of tokens."""
+
+        def observe(batch: Batch, ids: list, held: np.ndarray, counts: list) -> pa.Table:
+            found = batch.estimates([kept for kept, _ in counts], totals["tokens_kept"], totals["distinct_kept"])
+            cells, n = np.unique(np.stack(bins(found), 1), axis=0, return_counts=True)
+            return pa.table({**{name: cells[:, k] for k, name in enumerate(names)}, "n": n})
+
+        schema = ", ".join(f"{name} long" for name in (*names, "n"))
+        cells = per_batch(observe, schema, F.expr("source % 2 = 1")).groupBy(*names).agg(F.sum("n").alias("n"))
+        cells = cells.toPandas().to_numpy(dtype=np.int64).reshape(-1, len(names) + 1)
+        return cells[np.lexsort(cells.T[::-1])]
+
+    weights = learned_weights(observed(
+        ("bucket", "bigram", "unigram"),
+        lambda x: [bucket_of(x.context), ratio_bins(x.bigram, x.base), ratio_bins(x.unigram, x.base)],
+    ))
+    shares = learned_shares(observed(
+        ("bucket", "trigram"), lambda x: [bucket_of(x.context_2), ratio_bins(x.trigram, x.after_one(weights))]
+    ))
+
+    def score(batch: Batch, ids: list, held: np.ndarray, counts: list) -> pa.Table:
+        found = batch.estimates([kept + gone for kept, gone in counts], totals["tokens"], totals["distinct"])
         by_text = lambda x: np.add.reduceat(x, batch.starts)
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"), "held_out": pa.array(texts.column("fold").to_numpy() == 2),
-                "n_tokens": batch.lengths.astype(np.int64), "n_known": by_text((count > 0).astype(np.int64)),
-                "base_score": by_text(np.log10(found[2])), "score": by_text(np.log10(mixed)),
+                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held),
+                "n_tokens": batch.lengths.astype(np.int64), "n_known": by_text((found.count > 0).astype(np.int64)),
+                "base_score": by_text(np.log10(found.base)), "score": by_text(np.log10(found.after_two(weights, shares))),
             }
         )
 
-    scored = dealt.groupBy("batch").cogroup(answer.groupBy("batch")).applyInArrow(score, SCORED)
-    return scored.select(
+    return per_batch(score, SCORED, F.lit(True)).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"
     )
