@@ -391,8 +391,13 @@ def lm_scores(
 
         def observe(batch: Batch, ids: list, held: np.ndarray, counts: list) -> pa.Table:
             found = batch.estimates([kept for kept, _ in counts], totals["tokens_kept"], totals["distinct_kept"])
-            cells, n = np.unique(np.stack(bins(found), 1), axis=0, return_counts=True)
-            return pa.table({**{name: cells[:, k] for k, name in enumerate(names)}, "n": n})
+            own = [x.astype(np.int64) for x in bins(found)]
+            # One number for each cell, which sorts faster than a row.
+            key = own[0]
+            for other in own[1:]:
+                key = (key << 22) + (other - UNSEEN)
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.table({**{name: values[at] for name, values in zip(names, own)}, "n": n})
 
         schema = ", ".join(f"{name} long" for name in (*names, "n"))
         cells = per_batch(observe, schema, F.expr("source % 2 = 1")).groupBy(*names).agg(F.sum("n").alias("n"))
