@@ -8,9 +8,9 @@ expectation-maximisation on counts of a fold of the training texts that is left
 that purpose (deleted); the scores then use the counts of all training texts.
 
 No table of the corpus' n-grams goes to one place. Each task makes batches of about ``BATCH_BYTES`` of its
-texts as it reads them. A batch asks for its distinct n-grams, as sorted hashes with their counts in the kept
-and in the deleted fold, by ranges of the hash space (about ``RANGE_GRAMS`` each); a range adds the counts
-up and answers in the order of the question. One step asks at most ``FAN`` ranges. Where there are more, as many
+texts as it reads them, and writes them as numbers of words. A batch asks for its distinct n-grams, as sorted hashes
+with their counts in the kept and in the deleted fold, by ranges of the hash space (about ``RANGE_GRAMS`` each); a
+range adds the counts up and answers in the order of the question. One step asks at most ``FAN`` ranges. Where there are more, as many
 batches are first merged to a node that holds one part in ``FAN`` of the hash space, and so about as many n-grams
 as one batch; nodes ask on in the same way, and answers take the same steps back. So each step
 moves every n-gram of a batch once in rows that do not get shorter with the input, and the number of steps is
@@ -18,9 +18,10 @@ its logarithm. A frequent word or a copied text is one n-gram a batch, so no ran
 deleted fold are histograms over buckets and the ratios of the estimates in steps of a 32nd of an
 octave: bounded, and added up by cell.
 
-Words are 64-bit hashes; those of longer n-grams have 20 bits more than the number of tokens. With its question, a
-batch sends its texts as numbers of words, so that texts are read and cut into words once. They
-have to come in the same order whenever a lost task is run again, as they do from files.
+Words are 64-bit hashes; those of longer n-grams have 20 bits more than the number of tokens. Texts are read and cut
+into words once; questions are made again from the written batches wherever they are needed, and asked in ``PASSES`` of
+about the same size, each of which drops its shuffle files when it ends, so that disk holds one pass's questions at a
+time.
 
 NULL and empty texts are just an end. Rows without id are scored but neither learned from nor counted in a fold;
 rows that repeat an id are scored and counted one by one. Without training rows every weight is on the add-one
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekpulse.llm.collocations import bounded_passes
 from weekpulse.llm.tables import crc_of_id, written
+from weekpulse.sources.shared import new_folder
 
 BATCH_BYTES = 8_000_000
 RANGE_GRAMS = 1_500_000
 FAN = 128
+# Numbers of words before the last one: words and bigrams, then trigrams.
+PASSES = ((0, 1), (2,))
+ORDERS = (0, 1, 2)
 # About so many bytes of text for each token; only sets the number of ranges and of bits.
 TOKEN_BYTES = 5
 END, START, BEFORE = (np.uint64(xxhash.xxh3_64_intdigest(b"", seed)) for seed in (0, 1, 2))
@@ -53,10 +60,11 @@ BUCKETS = 24
 STEPS = 32
 UNSEEN = -(1 << 20)
 STRETCH = 1 << 20
+TEXTS = "source long, texts binary"
 ASKED = "place long, source long, n int, grams binary, kept binary, deleted binary"
 ANSWERED = "place long, source long, n int, kept binary, deleted binary"
 TOTALS = ("distinct", "distinct_kept", "tokens", "tokens_kept")
-FINAL = ASKED + "".join(f", {name} long" for name in TOTALS)
+FINAL = ANSWERED + "".join(f", {name} long" for name in TOTALS)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 ARROW = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
 
@@ -110,17 +118,24 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """A batch's tokens, one text after the other, and its distinct n-grams of each order."""
+    """A batch's tokens, one text after the other, as places in its sorted words; its distinct n-grams of some orders."""
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, bits: int):
-        self.tokens, self.lengths = tokens, lengths
+    def __init__(self, words: np.ndarray, at: np.ndarray, lengths: np.ndarray, bits: int, orders: tuple[int, ...]):
+        self.words, self.tokens_at, self.lengths = words, at, lengths
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        pairs = joined(self.before(tokens, START), tokens)
-        threes = joined(self.before(pairs, BEFORE), tokens)
         self.bits = (64, bits, bits)
-        cut = np.uint64(64 - bits)
-        found = [np.unique(x, return_inverse=True) for x in (tokens, pairs >> cut, threes >> cut)]
-        self.grams, self.at = zip(*found)
+        found = {order: self.distinct(order) for order in orders}
+        self.grams, self.at = ({order: x[k] for order, x in found.items()} for k in (0, 1))
+
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams, and the place there of the one that ends in each token."""
+        if order == 0:
+            return self.words, self.tokens_at
+        tokens = self.words[self.tokens_at]
+        own = tokens
+        for first in (START, BEFORE)[:order]:
+            own = joined(self.before(own, first), tokens)
+        return np.unique(own >> np.uint64(64 - self.bits[order]), return_inverse=True)
 
     def before(self, values: np.ndarray, first: np.uint64 | np.ndarray) -> np.ndarray:
         """The value of the token before; ``first`` where a text begins."""
@@ -130,42 +145,46 @@ class Batch:
         return out
 
     @classmethod
-    def of_texts(cls, texts: list[str | None], bits: int) -> Batch:
+    def of_texts(cls, texts: list[str | None], bits: int, orders: tuple[int, ...] = ORDERS) -> Batch:
         own = [tokens_of(text) for text in texts]
-        return cls(np.concatenate(own), np.array([len(x) for x in own]), bits)
+        words, at = np.unique(np.concatenate(own), return_inverse=True)
+        return cls(words, at, np.array([len(x) for x in own]), bits, orders)
 
     def kept(self) -> tuple:
         """What ``restored`` needs: words by falling frequency, as their numbers are smaller then."""
-        words, at = self.grams[0], self.at[0]
+        words, at = self.words, self.tokens_at
         order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words))
         return self.lengths, words[order], packed(number[at])
 
     @classmethod
-    def restored(cls, lengths: np.ndarray, words: np.ndarray, numbers: bytes, bits: int) -> Batch:
-        return cls(words[unpacked(numbers, int(lengths.sum())).astype(np.int64)], lengths, bits)
+    def restored(cls, lengths: np.ndarray, words: np.ndarray, numbers: bytes, bits: int, orders: tuple[int, ...] = ORDERS) -> Batch:
+        order = np.argsort(words)
+        at = np.empty(len(words), np.int64)
+        at[order] = np.arange(len(words))
+        return cls(words[order], at[unpacked(numbers, int(lengths.sum())).astype(np.int64)], lengths, bits, orders)
 
     def asked(self, fold: np.ndarray, each: int) -> Iterator[tuple]:
         """fold of each text: 0 kept, 1 deleted, 2 neither. Yields (place, n, grams, kept, deleted)."""
         folds = np.repeat(fold, self.lengths)
-        for order, (grams, at, bits) in enumerate(zip(self.grams, self.at, self.bits)):
-            counts = [np.bincount(at[folds == k], minlength=len(grams)) for k in (0, 1)]
-            yield from split(order * each, grams, *counts, slices(grams, bits, each, 0, each))
+        for order, grams in self.grams.items():
+            counts = [np.bincount(self.at[order][folds == k], minlength=len(grams)) for k in (0, 1)]
+            yield from split(order * each, grams, *counts, slices(grams, self.bits[order], each, 0, each))
 
     def answered(self, answers: dict[int, tuple[bytes, bytes]], each: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order the kept and the deleted count of every distinct n-gram."""
         out = []
-        for order, (grams, bits) in enumerate(zip(self.grams, self.bits)):
+        for order, grams in self.grams.items():
             found = [np.zeros(len(grams), np.int64) for _ in range(2)]
-            for place, part in slices(grams, bits, each, 0, each):
+            for place, part in slices(grams, self.bits[order], each, 0, each):
                 for into, data in zip(found, answers[order * each + place]):
                     into[part] = unpacked(data, part.stop - part.start)
             out.append(tuple(found))
         return out
 
     def estimates(self, counts: list[np.ndarray], n: int, distinct: int) -> Estimates:
-        word, pair, three = (own[at] for own, at in zip(counts, self.at))
+        word, pair, three = (own[self.at[order]] for order, own in enumerate(counts))
         # As many texts begin as end.
         begun = counts[0][np.searchsorted(self.grams[0], END)]
         return Estimates(word, self.before(word, begun), self.before(pair, begun), pair, three, n, distinct)
@@ -273,14 +292,12 @@ def learned_shares(cells: np.ndarray) -> np.ndarray:
     return shares
 
 
-def asking(rows: DataFrame, batch_bytes: int, each: int, bits: int) -> DataFrame:
-    """What the batches ask, and for each a row of its own place below 0 with its texts."""
+def batched(rows: DataFrame, batch_bytes: int, bits: int) -> DataFrame:
+    """The texts in batches, written as numbers of words, with ids and folds."""
 
     def flushed(batch: int, ids: list, texts: list, fold: list) -> pa.RecordBatch:
-        own, fold = Batch.of_texts(texts, bits), np.array(fold)
-        out = [(place, batch, *rest) for place, *rest in own.asked(fold, each)]
-        out.append((-1 - batch, batch, len(own.tokens), pickle.dumps((ids, fold == 2, *own.kept())), None, None))
-        return rows_of(ASKED, out).combine_chunks().to_batches()[0]
+        kept = pickle.dumps((ids, np.array(fold), *Batch.of_texts(texts, bits, ()).kept()))
+        return rows_of(TEXTS, [(batch, kept)]).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -299,24 +316,38 @@ def asking(rows: DataFrame, batch_bytes: int, each: int, bits: int) -> DataFrame
             if held[odd][0]:
                 yield flushed(first + 2 * made + odd, *held[odd])
 
-    return rows.mapInArrow(run, ASKED)
+    path = new_folder(rows.sparkSession, "texts")
+    # Row groups of few batches, so that no reader holds more of them.
+    few = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1"}
+    rows.mapInArrow(run, TEXTS).write.options(**few).parquet(path)
+    return rows.sparkSession.read.schema(TEXTS).parquet(path)
+
+
+def asking(texts: DataFrame, each: int, bits: int, orders: tuple[int, ...]) -> DataFrame:
+    """What the batches ask about n-grams of these orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, data in zip(*batch.columns):
+                _, fold, *kept = pickle.loads(data.as_buffer())
+                own = Batch.restored(*kept, bits, orders)
+                out = [(place, source.as_py(), *rest) for place, *rest in own.asked(fold, each)]
+                yield rows_of(ASKED, out).combine_chunks().to_batches()[0]
+
+    return texts.mapInArrow(run, ASKED)
 
 
 def counted(asked: DataFrame, batches: int, each: int, levels: int, bits: int, level: int = 1) -> tuple[DataFrame, DataFrame]:
     """The answers to what is asked at this level, and the last level's, which have the totals."""
 
     def last(table: pa.Table) -> pa.Table:
-        place = table.column("place")[0].as_py()
-        if place < 0:
-            # A batch's texts, passed on.
-            return rows_of(FINAL, [(*row.values(), *[0] * len(TOTALS)) for row in table.to_pylist()])
         sums = Sums(table)
-        of_words = place < each**levels
+        of_words = sums.rows[0]["place"] < each**levels
         every = sums.kept + sums.deleted
         totals = [int((every > 0).sum()), int((sums.kept > 0).sum()), int(every.sum()), int(sums.kept.sum())]
         out = []
         for k, (place, source, n, kept, deleted) in enumerate(sums.answers(sums.kept, sums.deleted)):
-            out.append((place, source, n, None, kept, deleted, *(totals if of_words and not k else [0] * len(TOTALS))))
+            out.append((place, source, n, kept, deleted, *(totals if of_words and not k else [0] * len(TOTALS))))
         return rows_of(FINAL, out)
 
     if level == levels:
@@ -341,12 +372,12 @@ def counted(asked: DataFrame, batches: int, each: int, levels: int, bits: int, l
 
     groups = -(-batches // each**level)
     group = F.pmod(F.xxhash64("source") if level == 1 else F.col("source"), F.lit(groups))
-    placed = asked.where("place >= 0").withColumn("group", group)
+    placed = asked.withColumn("group", group)
     merged = placed.groupBy("place", "group").applyInArrow(merge, ASKED)
     if level + 1 < levels:
         merged = written(merged, "merged")
     answers, final = counted(merged, batches, each, levels, bits, level + 1)
-    above = answers.where("place >= 0").select("place", "n", "kept", "deleted", F.col("source").alias("group"), F.expr(f"place DIV {each}").alias("parent"))
+    above = answers.select("place", "n", "kept", "deleted", F.col("source").alias("group"), F.expr(f"place DIV {each}").alias("parent"))
     return placed.groupBy("place", "group").cogroup(above.groupBy("parent", "group")).applyInArrow(back, ANSWERED), final
 
 
@@ -367,22 +398,22 @@ def lm_scores(
     each = next(k for k in range(1, fan + 1) if k**levels >= ranges)
     bits = min(64, (size // TOKEN_BYTES).bit_length() + 20)
 
-    asked = asking(rows, batch_bytes, each, bits)
-    if levels > 1:
-        asked = written(asked, "asked")
-    answers, final = counted(asked, batches, each, levels, bits)
-    texts = (asked if levels > 1 else final).where("place < 0").select("source", F.col("grams").alias("kept_texts"))
-    if levels > 1:
-        answers = written(answers, "answers")
-    answers = answers.where("place >= 0").select("source", "place", "kept", "deleted")
-    totals = {k: v or 0 for k, v in final.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()}
+    texts = batched(rows, batch_bytes, bits)
+    answers, totals = [], {}
+    with bounded_passes(docs.sparkSession):
+        for orders in PASSES:
+            own, final = counted(asking(texts, each, bits, orders), batches, each, levels, bits)
+            answers.append((own if levels == 1 else written(own, "answers")).select("source", "place", "kept", "deleted"))
+            if 0 in orders:
+                totals = {k: v or 0 for k, v in final.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict().items()}
+    answers = reduce(DataFrame.union, answers)
 
     def per_batch(work: Callable[[Batch, list, np.ndarray, list], pa.Table], schema: str, condition: Column) -> DataFrame:
         def run(own: pa.Table, answered: pa.Table) -> pa.Table:
-            ids, held, *kept = pickle.loads(own.column("kept_texts")[0].as_py())
+            ids, fold, *kept = pickle.loads(own.column("texts")[0].as_buffer())
             batch = Batch.restored(*kept, bits)
             places, *counts = (answered.column(c).to_pylist() for c in ("place", "kept", "deleted"))
-            return work(batch, ids, held, batch.answered(dict(zip(places, zip(*counts))), each))
+            return work(batch, ids, fold == 2, batch.answered(dict(zip(places, zip(*counts))), each))
 
         return texts.where(condition).groupBy("source").cogroup(answers.where(condition).groupBy("source")).applyInArrow(run, schema)
 
@@ -404,13 +435,14 @@ def lm_scores(
         cells = cells.toPandas().to_numpy(dtype=np.int64).reshape(-1, len(names) + 1)
         return cells[np.lexsort(cells.T[::-1])]
 
-    weights = learned_weights(observed(
-        ("bucket", "bigram", "unigram"),
-        lambda x: [bucket_of(x.context), ratio_bins(x.bigram, x.base), ratio_bins(x.unigram, x.base)],
-    ))
-    shares = learned_shares(observed(
-        ("bucket", "trigram"), lambda x: [bucket_of(x.context_2), ratio_bins(x.trigram, x.after_one(weights))]
-    ))
+    with bounded_passes(docs.sparkSession):
+        weights = learned_weights(observed(
+            ("bucket", "bigram", "unigram"),
+            lambda x: [bucket_of(x.context), ratio_bins(x.bigram, x.base), ratio_bins(x.unigram, x.base)],
+        ))
+        shares = learned_shares(observed(
+            ("bucket", "trigram"), lambda x: [bucket_of(x.context_2), ratio_bins(x.trigram, x.after_one(weights))]
+        ))
 
     def score(batch: Batch, ids: list, held: np.ndarray, counts: list) -> pa.Table:
         found = batch.estimates([kept + gone for kept, gone in counts], totals["tokens"], totals["distinct"])
