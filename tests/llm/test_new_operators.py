@@ -7,8 +7,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -110,6 +113,42 @@ def test_a_filter_without_hits_or_with_all_of_them_changes_nothing_but_work():
             assert len(collocations.grams(index, lambda rows: np.zeros(len(rows), bool), k)[1]) == 0
 
 
+class Driven:
+    """Stands for a DataFrame; gives back what would run over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_collocations_hand_over_small_pieces(monkeypatch):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randint(0, 400)}" for _ in range(300)] for _ in range(40)]
+    docs = pa.RecordBatch.from_arrays(
+        [pa.array(["en"] * 40), pa.array([" ".join(t).encode() for t in texts], pa.binary())], ["lang", "text"]
+    )
+    (index,) = collocations.shards(Driven(), 1 << 20)(iter([docs]))
+    symbols = 40 * 301 + 1
+    assert max(len(index.column(name)[0].as_buffer()) for name in ("bwt", "reverse_bwt")) < 2 * symbols
+    monkeypatch.setattr(collocations, "ROWS_OUT", 100)
+    every = {n: SimpleNamespace(value=b"\xff" * (1 << (collocations.FILTER_BITS - 3))) for n in (1, 2)}
+    rows = index.select(["lang", "words", "bwt"])
+    wanted = Counter(pair for text in texts for pair in pairwise(text))
+    for as_keys in (True, False):
+        pieces = list(collocations.counted(Driven(), 2, every, as_keys)(iter([rows])))
+        assert max(piece.num_rows for piece in pieces) <= 100
+        found = [n for piece in pieces for n in piece.column("n").to_pylist()]
+        assert sorted(found) == sorted(wanted.values())
+
+
+def test_packed_ids_come_back():
+    for ids in ([], [0], [0, 1, 255, 256, 65_535, 65_536, 2**31 - 1]):
+        cell = pa.py_buffer(collocations.packed_ids(np.array(ids, np.int32)))
+        assert collocations.unpacked_ids(cell).tolist() == ids
+
+
 # Packing
 
 

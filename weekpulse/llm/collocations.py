@@ -3,7 +3,9 @@
 1. Each task collects the words of its texts, language by language, into shards of about ``SHARD`` symbols
    (a word's id in the shard, or 0 between pieces). A shard's index is the Burrows-Wheeler transform of its
    symbols and that of their reverse, over suffixes ordered by their first four symbols, which is all that
-   phrases of up to four words need. The indexes are written to the shared folder: texts are read once.
+   phrases of up to four words need. The indexes are written to the shared folder: texts are read once. Their
+   cells are packed by the task that makes them and unpacked by the one that counts, one shard at a time, so that
+   Spark between them never holds more than small pieces: an executor's memory does not follow the input.
 2. A phrase is a pair of intervals, one in either transform. All intervals of a shard are extended at once:
    left by the symbols of the first transform (words to pairs, three to four), right by those of the second
    (two to three). Each extension moves both intervals, and its size is the phrase's count.
@@ -44,6 +46,7 @@ BUCKET = 1 << 15  # places in one of Spark's bitmaps
 INDEX = "lang string, words binary, bwt binary, reverse_bwt binary"
 GRAMS = "lang string, phrase string, n long"
 ROWS_OUT = 50_000
+SIZE_BYTES = 8  # of the length that stands before a packed cell
 # Fixed value: the marks that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECE_END = b"."
@@ -55,6 +58,25 @@ def symbols(text: bytes) -> list[bytes]:
     return text.lower().translate(TO_PIECES).replace(PIECE_END, b" . ").split()
 
 
+def packed(cell: bytes) -> bytes:
+    return len(cell).to_bytes(SIZE_BYTES, "little") + pa.Codec("zstd").compress(cell, asbytes=True)
+
+
+def unpacked(cell: pa.Buffer) -> pa.Buffer:
+    size = int.from_bytes(cell[:SIZE_BYTES].to_pybytes(), "little")
+    return pa.Codec("zstd").decompress(cell[SIZE_BYTES:], size) if size else pa.py_buffer(b"")
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Their first bytes, then all second ones and so on: the last ones are mostly 0."""
+    return packed(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_ids(cell: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(unpacked(cell), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 class Index(NamedTuple):
     """words: of ids 1, 2, ...; both transforms of the symbols (up to two words need only the first)."""
 
@@ -80,9 +102,13 @@ def transform(symbols: np.ndarray) -> np.ndarray:
 def fronts_of(bwt: np.ndarray) -> np.ndarray:
     """For each row the place of its suffix with the symbol of ``bwt`` put before it."""
     # Symbol and row in one number: the same order as a stable sort by symbol, and faster.
-    order = np.sort((bwt.astype(np.int64) << 32) | np.arange(len(bwt))) & 0xFFFFFFFF
-    fronts = np.empty_like(order)
-    fronts[order] = np.arange(len(order))
+    order = bwt.astype(np.int64)
+    order <<= 32
+    order |= np.arange(len(bwt))
+    order.sort()
+    order &= 0xFFFFFFFF
+    fronts = np.empty(len(order), np.int32)
+    fronts[order] = np.arange(len(order), dtype=np.int32)
     return fronts
 
 
@@ -101,9 +127,9 @@ def shards(docs: DataFrame, shard: int) -> DataFrame:
             all_symbols = np.concatenate([[0], *parts]).astype(np.int32)
             row = (
                 lang,
-                b" ".join(list(ids)[1:]),
-                transform(all_symbols).tobytes(),
-                transform(all_symbols[::-1]).tobytes(),
+                packed(b" ".join(list(ids)[1:])),
+                packed_ids(transform(all_symbols)),
+                packed_ids(transform(all_symbols[::-1])),
             )
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.binary()))],
@@ -142,15 +168,18 @@ def extend(
     transform the extended phrases lie in the old interval, in the order of their new symbols.
     """
     starts = np.cumsum(size) - size
-    interval = np.repeat(np.arange(len(low)), size)
-    rows = np.arange(len(interval)) + np.repeat(low - starts, size)
-    key = interval * (int(bwt.max()) + 1) + bwt[rows]
+    symbols = int(bwt.max()) + 1
+    rows = np.repeat(low - starts, size)
+    rows += np.arange(len(rows))
+    key = np.repeat(np.arange(len(low)) * symbols, size)
+    key += bwt[rows]
     order = np.argsort(key)
-    key = key[order]
+    key, rows = key[order], rows[order]
+    del order
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     n = np.diff(np.append(first, len(key)))
-    top = np.minimum.reduceat(rows[order], first) if len(first) else first
-    interval = interval[order[first]]
+    top = np.minimum.reduceat(rows, first) if len(first) else first
+    interval = key[first] // symbols
     symbol = bwt[top]
     inside = symbol > 0
     return tuple(
@@ -198,7 +227,7 @@ def filter_of(keys: DataFrame) -> bytes:
 def grams(index: Index, known: Known, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of ``length`` words as ids, and their counts: only those whose parts ``known`` lets through."""
     counts = np.bincount(index.bwt, minlength=len(index.words) + 1)
-    ids = np.arange(1, len(counts))
+    ids = np.arange(1, len(counts), dtype=np.int32)
     phrases, size = ids[:, None], counts[1:]
     if length == 1:
         return phrases, size
@@ -238,14 +267,18 @@ def counted(indexes: DataFrame, length: int, filters: dict, as_keys: bool) -> Da
             for row in range(batch.num_rows):
                 lang, words, *transforms = (c[row] for c in batch.columns)
                 lang = lang.as_py()
-                words = words.as_py().split(b" ") if len(words.as_buffer()) else []
-                index = Index(words, *(np.frombuffer(t.as_buffer(), np.int32) for t in transforms))
+                text = unpacked(words.as_buffer()).to_pybytes()
+                words = text.split(b" ") if text else []
+                index = Index(words, *(unpacked_ids(t.as_buffer()) for t in transforms))
                 known = Known(lang, words, bits)
                 phrases, size = grams(index, known, length)
                 if as_keys:
                     keys = known.keys(phrases)
                     order = np.argsort(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(size[order])], ["key", "n"])
+                    keys, size = keys[order], size[order]
+                    for start in range(0, len(size), ROWS_OUT):
+                        part = slice(start, start + ROWS_OUT)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(size[part])], ["key", "n"])
                     continue
                 if length == 1:
                     of_all = [pa.array([v]) for v in (lang, "", int(size.sum()))]
@@ -265,14 +298,14 @@ def counted(indexes: DataFrame, length: int, filters: dict, as_keys: bool) -> Da
     return indexes.select(*columns).mapInArrow(run, "key long, n long" if as_keys else GRAMS)
 
 
+# Texts and index rows are long. Buffers of a few megabytes are pooled and used again; larger ones are taken from
+# the system one by one, which leaves it in pieces, and make the heap grow to its limit.
+BATCH_BYTES = "1m"
+
+
 @contextmanager
-def bounded_passes(spark: SparkSession):
-    """Settings while the passes run: index rows are megabytes long, so that an Arrow batch has few of them,
-    and each pass is written or collected once, so that its shuffle files go when it ends."""
-    own = {
-        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
-        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    }
+def settings(spark: SparkSession, own: dict[str, str]):
+    """Settings of the session while something runs."""
     before = {name: spark.conf.get(name, None) for name in own}
     for name, value in own.items():
         spark.conf.set(name, value)
@@ -283,6 +316,17 @@ def bounded_passes(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def batches_of(most_bytes: str) -> dict[str, str]:
+    return {"spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+
+
+def bounded_passes(spark: SparkSession, batch_bytes: str = "16m"):
+    """Settings while the passes run: rows are megabytes long, so that an Arrow batch has few of them,
+    and each pass is written or collected once, so that its shuffle files go when it ends."""
+    once = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    return settings(spark, batches_of(batch_bytes) | once)
+
+
 def frequent_phrases(
     docs: DataFrame, least: int, lang_col: str, text_col: str, shard: int = SHARD
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -293,12 +337,18 @@ def frequent_phrases(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
     path = new_folder(spark, "fm-indexes")
-    # Row groups of few shards, so that no reader holds more of them.
-    few = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1", "compression": "zstd"}
-    shards(texts, shard).write.options(**few).parquet(path)
+    # Row groups of few shards, so that no reader holds more of them. What is packed is not compressed again.
+    few = {
+        "parquet.block.size": str(1 << 22),
+        "parquet.block.size.row.check.min": "1",
+        "parquet.enable.dictionary": "false",
+        "compression": "uncompressed",
+    }
+    with settings(spark, batches_of(BATCH_BYTES)):
+        shards(texts, shard).write.options(**few).parquet(path)
     indexes = spark.read.schema(INDEX).parquet(path)
     levels, filters, n_words = [], {}, None
-    with bounded_passes(spark):
+    with bounded_passes(spark, BATCH_BYTES):
         for length in range(1, MOST_WORDS + 1):
             by_key = counted(indexes, length, dict(filters), True).groupBy("key").agg(F.sum("n").alias("n"))
             filters[length] = spark.sparkContext.broadcast(filter_of(by_key.where(F.col("n") >= least)))
